@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from purselight.llm import bin_completion
+from purselight.llm import bin_completion, quality_forest, url_bloom, warc_chunks
 from purselight.llm.common import table
 
 #: Tokenizer file of the packing query.
@@ -17,13 +17,71 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_forest.score(docs, quality_forest.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_bloom.judge(pages, url_bloom.labelled_toxic(pages, table(spark, sf_dir, "labels")))
+
+
+OP2_SQL = r"""
+with parts as (
+    select page_id, coalesce(url, '') as url,
+        translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path,
+        list_sort(list_filter(string_split(regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[a-z]+|ref)(=|$)'))) as fields
+    from pages),
+named as (
+    select page_id, host, path,
+        regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') || case when len(fields) > 0 then '?' || array_to_string(fields, '&') else '' end as canonical,
+        try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]{1,18})(?:\.html|/)?$', 1), '') as bigint) as doc_id
+    from parts),
+listed as (select distinct canonical as url from named where canonical <> '' and doc_id in (select doc_id from labels where toxic = 1)),
+ruled as (
+    select *, case
+        when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/en/1') then 'example.org/en/1'
+        when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/es/') then 'example.org/es/'
+        when (host = 'com' or host like '%.com') and starts_with(path, '/fr/') then 'com/fr/'
+        when (host = 'com' or host like '%.com') and starts_with(path, '/de/') then 'com/de/'
+        when (host = 'org' or host like '%.org') and starts_with(path, '/') then 'org/' end as rule
+    from named)
+select page_id, host, path, rule,
+    case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' when url is not null then 'block' else 'allow' end as verdict,
+    canonical, url is not null as listed
+from ruled left join listed on canonical = url
+"""
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_chunks.summary(warc_chunks.read(warc_chunks.archive(table(spark, sf_dir, "pages"))))
+
+
+OP5_SQL = """
+with payloads as (
+    select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as hex,
+        min(page_id) over (partition by coalesce(html, '')) as first
+    from pages),
+digests as (
+    select *, list_transform(range(0, 8), lambda g: ('0x' || substr(hex, 5 * g + 1, 5))::bigint) as groups
+    from payloads)
+select page_id, payload_bytes::bigint as payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((groups[(i // 4) + 1] >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') as payload_digest,
+    case when page_id = first or first is null then 'response' else 'revisit' end as record_type,
+    case when page_id = first or first is null then null else first end as refers_to
+from digests
+"""
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_completion.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict:
-    return {"op10_best_fit_packing": op10_best_fit_packing}
+    return {"op1_quality_rules": op1_quality_rules, "op2_url_filters": op2_url_filters, "op5_warc": op5_warc, "op10_best_fit_packing": op10_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filters": OP2_SQL, "op5_warc": OP5_SQL}
