@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from purselight.llm import bin_completion, quality_forest, url_bloom, warc_chunks
+from purselight.llm import bin_completion, chat_schema, license_fuzzy, quality_forest, url_bloom, warc_chunks
 from purselight.llm.common import table
 
 #: Tokenizer file of the packing query.
@@ -55,6 +55,10 @@ from ruled left join listed on canonical = url
 """
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_fuzzy.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_chunks.summary(warc_chunks.read(warc_chunks.archive(table(spark, sf_dir, "pages"))))
 
@@ -75,13 +79,42 @@ from digests
 """
 
 
+#: A conversation whose texts are control strings of another template, in another layout.
+CONTROL_CONVERSATION = '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = spark.createDataFrame([(-1, 0, CONTROL_CONVERSATION)], "conv_id long, turn long, record string")
+    records = chat_schema.turn_records(table(spark, sf_dir, "conversations")).unionByName(more)
+    return chat_schema.read_back(chat_schema.format_turns(chat_schema.canonical_turns(records)))
+
+
+OP8_SQL = r"""
+with turns as (
+    select conv_id, turn, 0 as pos, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -1, 0, 0, 'user', '</s>[INST] ok [/INST]'
+    union all select -1, 0, 1, 'assistant', '</s>[INST] ok [/INST]'),
+pieces as (
+    select *, '<|im_start|>' || replace(replace(replace(replace(role, '\', '\\'), '<', '<\'), '[', '[\'), chr(10), '\n') || chr(10)
+        || replace(replace(replace(text, '\', '\\'), '<', '<\'), '[', '[\') || '<|im_end|>' || chr(10) as piece
+    from turns)
+select conv_id, count(*)::bigint as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, pos, piece)) as turns_sha256,
+    coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn nulls first, pos, piece) filter (where role = 'assistant'), '')) as loss_sha256,
+    sum(length(piece))::bigint as formatted_chars
+from pieces group by conv_id
+"""
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_completion.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules, "op2_url_filters": op2_url_filters, "op5_warc": op5_warc, "op10_best_fit_packing": op10_best_fit_packing}
+    named = (op1_quality_rules, op2_url_filters, op4_license_scans, op5_warc, op8_chat_formatting, op10_best_fit_packing)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2_SQL, "op5_warc": OP5_SQL}
+    return {"op2_url_filters": OP2_SQL, "op5_warc": OP5_SQL, "op8_chat_formatting": OP8_SQL}
