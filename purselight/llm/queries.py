@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from purselight.llm import bin_completion, chat_schema, license_fuzzy, quality_forest, url_bloom, warc_chunks
+from purselight.llm import bin_completion, chat_schema, decontaminate, license_fuzzy, quality_forest, url_bloom, warc_chunks
 from purselight.llm.common import table
 
 #: Tokenizer file of the packing query.
@@ -79,6 +79,10 @@ from digests
 """
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: A conversation whose texts are control strings of another template, in another layout.
 CONTROL_CONVERSATION = '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
 
@@ -112,7 +116,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_quality_rules, op2_url_filters, op4_license_scans, op5_warc, op8_chat_formatting, op10_best_fit_packing)
+    named = (op1_quality_rules, op2_url_filters, op4_license_scans, op5_warc, op6_benchmark_decontamination, op8_chat_formatting, op10_best_fit_packing)
     return {f.__name__: f for f in named}
 
 
