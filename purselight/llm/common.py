@@ -81,21 +81,25 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | li
     return df.mapInArrow(run, schema)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes); forgets all when it has held `most` of them, which bounds its memory."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+class HashSet:
+    """Sorted 64-bit hashes with a bitmap in front, which spares most look-ups the search."""
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    def __init__(self, hashes: np.ndarray, bits: int = 20):
+        self.keys, self.shift = np.sort(hashes), np.uint64(64 - bits)
+        self.bitmap = np.zeros(1 << bits, bool)
+        self.bitmap[self.keys >> self.shift] = True
+
+    def places(self, g: np.ndarray) -> np.ndarray:
+        """Places in g whose hash is in the set."""
+        at = np.nonzero(self.bitmap[g >> self.shift])[0]
+        if not len(at):
+            return at
+        k = np.minimum(np.searchsorted(self.keys, g[at]), len(self.keys) - 1)
+        return at[self.keys[k] == g[at]]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -116,11 +120,11 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def shingle_set(words: list[bytes], cache: WordHashes, n: int = 5) -> np.ndarray:
+def shingle_set(words: list[bytes], n: int = 5) -> np.ndarray:
     """Sorted distinct hashes of n-word shingles; all words as one if there are fewer; empty without words."""
     if not words:
         return np.empty(0, np.uint64)
-    return np.unique(grams(cache.of(words), min(n, len(words))))
+    return np.unique(grams(word_hashes(words), min(n, len(words))))
 
 
 def signed(h: np.ndarray) -> np.ndarray:
@@ -134,9 +138,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     node's least neighbour, so a hub's list is never gathered: the least neighbour comes from a partial
     aggregate and is joined back. Every round is written to the shared folder.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = cut(e, "edges")
-    for _ in range(rounds):
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    digest = F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.shiftright(F.xxhash64("v", "u"), 20))
+    was = tuple(e.agg(*digest).first())
+    for _ in range(rounds if was[0] else 0):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -144,13 +149,15 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         new = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        same = e.exceptAll(new).isEmpty() and new.exceptAll(e).isEmpty()
+        now = tuple(new.agg(*digest).first())
         drop_table(e)
         e = new
-        if same:
+        if now == was:
             break
+        was = now
     else:
-        raise RuntimeError("components did not settle")
+        if was[0]:
+            raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

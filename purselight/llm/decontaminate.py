@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from purselight.llm.common import WordHashes, binaries, grams, map_batches, signed
+from purselight.llm.common import HashSet, binaries, grams, map_batches, signed, word_hashes
 from purselight.llm.license_fuzzy import normalise
 
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -45,8 +45,7 @@ class Item:
 
 
 def make_items(rows: list[tuple], n: int) -> list[Item]:
-    cache = WordHashes()
-    hashes = [(i, cache.of(normalise((t or "").encode()))) for i, t in rows]
+    hashes = [(i, word_hashes(normalise((t or "").encode()))) for i, t in rows]
     return [Item(i, h, min(n, len(h))) for i, h in hashes if len(h)]
 
 
@@ -67,24 +66,21 @@ def item_blocks(items: DataFrame, block_bytes: int, n: int) -> Iterator[list[Ite
 def document_frequency(docs: DataFrame, items: list[Item]) -> dict[int, int]:
     """How many documents hold each n-gram of the items (hash, as unsigned)."""
     sizes = sorted({x.n for x in items})
-    wanted = {k: np.unique(np.concatenate([x.grams for x in items if x.n == k])) for k in sizes}
+    wanted = {k: HashSet(np.concatenate([x.grams for x in items if x.n == k])) for k in sizes}
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cache, total = _CACHE, Counter()
+        total: Counter = Counter()
         for text in binaries(batch, "text"):
-            h = cache.of(normalise(text))
+            h = word_hashes(normalise(text))
             for k in sizes:
-                g = np.unique(grams(h, k))
-                total.update(g[np.isin(g, wanted[k], assume_unique=True)].tolist())
+                g = grams(h, k)
+                total.update(np.unique(g[wanted[k].places(g)]).tolist())
         return pa.RecordBatch.from_pydict({"gram": pa.array(signed(np.array(list(total), np.uint64))), "n": pa.array(list(total.values()), pa.int64())})
 
     rows = map_batches(docs.select(F.col("text").cast("binary").alias("text")), f, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return {r.gram & 0xFFFFFFFFFFFFFFFF: r.n for r in rows.collect()}  # at most the n-grams of a block of items
 
 
-_CACHE = WordHashes()
-
-
 def seed_positions(frequency: list[int], window: int) -> list[int]:
     """Of every `window` consecutive n-grams the rarest; the first of equals."""
     m = len(frequency)
@@ -114,7 +110,7 @@ class Index:
 
     items: list[Item]
     sizes: list[int]
-    seeds: dict[int, tuple[np.ndarray, np.ndarray]]  #: n -> (sorted hashes, rows (item, position))
+    seeds: dict[int, tuple[HashSet, np.ndarray, np.ndarray]]  #: n -> (set, sorted hashes, rows (item, position))
     least: float
 
     @classmethod
@@ -127,24 +123,26 @@ class Index:
         seeds = {}
         for k, rows in found.items():
             rows.sort()
-            seeds[k] = np.array([x[0] for x in rows], np.uint64), np.array([x[1:] for x in rows], np.int64)
+            keys = np.array([x[0] for x in rows], np.uint64)
+            seeds[k] = HashSet(keys), keys, np.array([x[1:] for x in rows], np.int64)
         return cls(items, sorted(seeds), seeds, least)
 
     def hits(self, h: np.ndarray) -> dict[int, list[int]]:
         """item -> diagonals (start of the item in the document) of seeds found."""
         out: dict[int, list[int]] = {}
         for k in self.sizes:
-            keys, rows = self.seeds[k]
+            known, keys, rows = self.seeds[k]
             g = grams(h, k)
-            first, last = np.searchsorted(keys, g, "left"), np.searchsorted(keys, g, "right")
-            for at in np.nonzero(first < last)[0]:
-                for i, p in rows[first[at] : last[at]]:
+            places = known.places(g)
+            first, last = np.searchsorted(keys, g[places], "left"), np.searchsorted(keys, g[places], "right")
+            for at, a, b in zip(places, first, last, strict=True):
+                for i, p in rows[a:b]:
                     out.setdefault(int(i), []).append(int(at) - int(p))
         return out
 
     def score(self, text: bytes) -> list[tuple]:
         """(item_id, score, start word, end word) of the items that the text holds."""
-        h = _CACHE.of(normalise(text))
+        h = word_hashes(normalise(text))
         best: dict = {}
         for i, diagonals in self.hits(h).items():
             item = self.items[i]

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from purselight.llm import decontaminate as dc
-from purselight.llm.common import WordHashes, grams
+from purselight.llm.common import grams, word_hashes
 
 
 def slow_align(a, b):
@@ -36,12 +36,12 @@ def words(rng, n):
 
 def brute(docs, items, least, run):
     """All documents against all items, whole texts; of these, the pairs with an unchanged run of `run` words."""
-    cache, out = WordHashes(), []
+    out = []
     for d, text in docs:
-        h = cache.of(dc.normalise((text or "").encode()))
+        h = word_hashes(dc.normalise((text or "").encode()))
         best = {}
         for i, item in items:
-            w = cache.of(dc.normalise((item or "").encode()))
+            w = word_hashes(dc.normalise((item or "").encode()))
             if not len(w) or not np.isin(grams(w, min(run, len(w))), grams(h, min(run, len(w)))).any():
                 continue
             score = slow_align(w.tolist(), h.tolist()) / (dc.MATCH * len(w))
