@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from purselight.llm import bin_completion, chat_schema, decontaminate, license_fuzzy, quality_forest, url_bloom, warc_chunks
+from purselight.llm import bin_completion, chat_schema, decontaminate, license_fuzzy, line_suffix, minhash_hamming, quality_forest, url_bloom, warc_chunks
 from purselight.llm.common import table
 
 #: Tokenizer file of the packing query.
@@ -55,6 +56,31 @@ from ruled left join listed on canonical = url
 """
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_hamming.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, then the transitive closure.
+OP3_SQL = r"""
+with recursive texts as (
+    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') as words
+    from documents),
+shingles as (
+    select distinct doc_id, md5(array_to_string(words[i:i + 4], ' ')) as shingle
+    from texts, unnest(range(1, greatest(len(words) - 4, 1) + 1)) as t(i) where len(words) > 0),
+sizes as (select texts.doc_id, count(shingle) as n from texts left join shingles using (doc_id) group by 1),
+links as (
+    select a.doc_id as a, b.doc_id as b from shingles a join shingles b using (shingle) join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
+    where a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+reach as (
+    select doc_id, doc_id as other from sizes
+    union select reach.doc_id, links.b from reach join links on links.a = reach.other)
+select sizes.doc_id, any_value(sizes.n)::bigint as n_shingles, min(other) as component_id, sizes.doc_id = min(other) as kept
+from sizes join reach using (doc_id) group by sizes.doc_id
+"""
+
+
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_fuzzy.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -83,6 +109,41 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, deleted_lines, kept_chars and kept_md5 (of the new text; null for null) of every document."""
+    new = line_suffix.rewrite(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return new.select("doc_id", "deleted_lines", F.char_length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
+#: Windows of up to 8 lines with 8 words or more, all lengths, equal to an earlier one.
+OP7_SQL = r"""
+with lines as (
+    select doc_id, text, k, string_split(text, chr(10))[k] as body
+    from documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) as t(k)),
+worded as (
+    select *, len(regexp_extract_all(body, '[^ 	-]+')) as words, row_number() over (partition by doc_id order by k) as i
+    from lines where regexp_matches(body, '[^ 	-]')),
+ahead as (
+    select doc_id, i, list(body) over w as bodies, list(words) over w as counts
+    from worded window w as (partition by doc_id order by i rows between current row and 7 following)),
+windows as (
+    select doc_id, i, n, bodies[1:n] as run
+    from ahead, unnest(range(1, 9)) as t(n) where n <= len(bodies) and list_sum(counts[1:n]) >= 8),
+later as (
+    select doc_id, i, n, row_number() over (partition by run order by doc_id, i) as copy from windows),
+gone as (
+    select distinct doc_id, i + j as i from later, unnest(range(0, n)) as t(j) where copy > 1),
+cleaned as (
+    select lines.doc_id, string_agg(lines.body, chr(10) order by lines.k) as text
+    from lines left join worded using (doc_id, k) left join gone on gone.doc_id = worded.doc_id and gone.i = worded.i
+    where gone.i is null group by lines.doc_id)
+select documents.doc_id, (select count(*) from gone where gone.doc_id = documents.doc_id)::bigint as deleted_lines,
+    case when documents.text is not null then length(coalesce(cleaned.text, '')) end::bigint as kept_chars,
+    case when documents.text is not null then md5(coalesce(cleaned.text, '')) end as kept_md5
+from documents left join cleaned using (doc_id)
+"""
+
+
 #: A conversation whose texts are control strings of another template, in another layout.
 CONTROL_CONVERSATION = '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
 
@@ -116,9 +177,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_quality_rules, op2_url_filters, op4_license_scans, op5_warc, op6_benchmark_decontamination, op8_chat_formatting, op10_best_fit_packing)
+    named = (op1_quality_rules, op2_url_filters, op3_minhash_near_dedup, op4_license_scans, op5_warc, op6_benchmark_decontamination, op7_line_dedup, op8_chat_formatting, op10_best_fit_packing)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2_SQL, "op5_warc": OP5_SQL, "op8_chat_formatting": OP8_SQL}
+    return {"op2_url_filters": OP2_SQL, "op3_minhash_near_dedup": OP3_SQL, "op5_warc": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_chat_formatting": OP8_SQL}

@@ -68,13 +68,18 @@ def block_count(n_listed: int, bits_per_url: int = 12, most_blocks: int = 1 << 1
     return max(1, min(most_blocks, -(-n_listed * bits_per_url // 256)))
 
 
+def maybe(df: DataFrame, key: str, listed: DataFrame, most_blocks: int = 1 << 17, bits: int = 12) -> DataFrame:
+    """df with a boolean column maybe: false only where key (null included) surely is not in column url of listed."""
+    n = block_count(listed.count(), bits, most_blocks)
+    probed = df.withColumn("block", _block(F.col(key), n)).join(F.broadcast(bloom_blocks(listed, n)), "block", "left")  # n rows of 40 bytes at most
+    passed = reduce(lambda a, b: a & b, (F.col(f"w{k}").bitwiseAND(b) != 0 for k, b in enumerate(_bits(F.col(key)))))
+    return probed.withColumn("maybe", F.coalesce(passed, F.lit(False))).drop("block", *(f"w{k}" for k in range(8)))
+
+
 def matches(pages: DataFrame, listed: DataFrame, key: str = "canonical", bits_per_url: int = 12, most_blocks: int = 1 << 17) -> DataFrame:
     """pages with boolean columns maybe (passed the filter) and listed (is in the list). listed: column url."""
     listed = listed.select("url").where("url is not null and url <> ''").distinct()
-    n = block_count(listed.count(), bits_per_url, most_blocks)
-    probed = pages.withColumn("block", _block(F.col(key), n)).join(F.broadcast(bloom_blocks(listed, n)), "block", "left")  # n rows of 40 bytes at most
-    passed = reduce(lambda a, b: a & b, (F.col(f"w{k}").bitwiseAND(b) != 0 for k, b in enumerate(_bits(F.col(key)))))
-    probed = probed.withColumn("maybe", F.coalesce(passed, F.lit(False))).drop("block", *(f"w{k}" for k in range(8)))
+    probed = maybe(pages, key, listed, most_blocks, bits_per_url)
     salted = listed.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))).withColumn("listed", F.lit(True))
     hits = probed.where("maybe").withColumn("salt", F.pmod(F.xxhash64(*pages.columns), F.lit(SALTS)).cast("int"))
     hits = hits.withColumnRenamed(key, "url_key").join(salted.withColumnRenamed("url", "url_key"), ["url_key", "salt"], "left").withColumnRenamed("url_key", key)
