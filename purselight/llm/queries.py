@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from purselight.llm import bin_completion, chat_schema, decontaminate, license_fuzzy, line_suffix, minhash_hamming, quality_forest, url_bloom, warc_chunks
+from purselight.llm import bin_completion, chat_schema, compact_windows, decontaminate, license_fuzzy, line_suffix, minhash_hamming, quality_forest, url_bloom, warc_chunks
 from purselight.llm.common import table
 
 #: Tokenizer file of the packing query.
@@ -121,8 +121,10 @@ with lines as (
     select doc_id, text, k, string_split(text, chr(10))[k] as body
     from documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) as t(k)),
 worded as (
-    select *, len(regexp_extract_all(body, '[^ 	-]+')) as words, row_number() over (partition by doc_id order by k) as i
-    from lines where regexp_matches(body, '[^ 	-]')),
+    select *, len(regexp_extract_all(body, '[^ 	-
+]+')) as words, row_number() over (partition by doc_id order by k) as i
+    from lines where regexp_matches(body, '[^ 	-
+]')),
 ahead as (
     select doc_id, i, list(body) over w as bodies, list(words) over w as counts
     from worded window w as (partition by doc_id order by i rows between current row and 7 following)),
@@ -172,12 +174,16 @@ from pieces group by conv_id
 """
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_completion.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict:
-    named = (op1_quality_rules, op2_url_filters, op3_minhash_near_dedup, op4_license_scans, op5_warc, op6_benchmark_decontamination, op7_line_dedup, op8_chat_formatting, op10_best_fit_packing)
+    named = (op1_quality_rules, op2_url_filters, op3_minhash_near_dedup, op4_license_scans, op5_warc, op6_benchmark_decontamination, op7_line_dedup, op8_chat_formatting, op9_substring_dedup, op10_best_fit_packing)
     return {f.__name__: f for f in named}
 
 
