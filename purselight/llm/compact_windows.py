@@ -199,23 +199,41 @@ def best_stretch(hit: np.ndarray) -> tuple[int, int]:
     return int(total[: end + 1].argmin()), end
 
 
+def longest_stretch(hit: np.ndarray, misses: int) -> tuple[int, int]:
+    """Start and end (excluded) of the longest stretch, from a hit to a hit, with `misses` hits or more for each miss."""
+    total = np.r_[0, np.cumsum(np.where(hit, 1, -misses))]
+    first = np.searchsorted(-np.minimum.accumulate(total), -total)  # the first place that is not higher
+    end = int((np.arange(len(total)) - first).argmax())
+    at = np.nonzero(hit[first[end] : end])[0]
+    return (int(first[end] + at[0]), int(first[end] + at[-1] + 1)) if len(at) else (0, 0)
+
+
 def passages(a: np.ndarray, b: np.ndarray, width: int, percent: int) -> list[tuple[int, int, int, int, float]]:
-    """Passages shared by two stretches of shingles: (start, end) in a and b, ends excluded, and their similarity."""
+    """Passages shared by two stretches of shingles: (start, end) in a and b, ends excluded, and their similarity.
+
+    The longest stretch of a of which b holds three quarters, and the like of b, are tried first; then six sevenths
+    (what equally long sides need for 0.75) and the densest. What lies on either side of it is searched in turn.
+    """
     out, todo = [], [(0, len(a))]
+    cuts = (lambda h: longest_stretch(h, 3), lambda h: longest_stretch(h, 6), best_stretch)
     while todo:
         lo, hi = todo.pop()
-        if hi - lo < width:
-            continue
-        x0, x1 = (lo + v for v in best_stretch(np.isin(a[lo:hi], b)))
-        if x1 - x0 < width:
+        hit = np.isin(a[lo:hi], b)
+        if hi - lo < width or hit.sum() < width * percent // 100:
             continue
-        y0, y1 = best_stretch(np.isin(b, a[x0:x1]))
-        s, t = np.unique(a[x0:x1]), np.unique(b[y0:y1])
-        both = len(np.intersect1d(s, t, assume_unique=True))
-        union = len(s) + len(t) - both
-        if y1 - y0 >= width and 100 * both >= percent * union:
-            out.append((x0, x1, y0, y1, both / union))
-        todo += [(lo, x0), (x1, hi)]
+        for cut_ in cuts:
+            x0, x1 = (lo + v for v in cut_(hit))
+            y0, y1 = cut_(np.isin(b, a[x0:x1]))
+            if min(x1 - x0, y1 - y0) < width:
+                continue
+            s, t = np.unique(a[x0:x1]), np.unique(b[y0:y1])
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            union = len(s) + len(t) - both
+            if 100 * both >= percent * union:
+                out.append((x0, x1, y0, y1, both / union))
+                break
+        if x1 > x0:
+            todo += [(lo, x0), (x1, hi)]
     return out
 
 
