@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import tempfile
 import uuid
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 #: A word of the plain word rule, for SQL and regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 _SCRATCH: dict[str, list[str]] = {}
+_STAGE: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +65,21 @@ def clear_scratch(spark: SparkSession) -> None:
         delete(spark, path)
 
 
+@contextlib.contextmanager
+def stage_scratch(spark: SparkSession) -> Iterator[None]:
+    """Remembers the tables that cut() writes meanwhile as those of a stage."""
+    app = spark.sparkContext.applicationId
+    before = len(_SCRATCH.setdefault(app, []))
+    yield
+    _STAGE.setdefault(app, []).extend(_SCRATCH[app][before:])
+
+
+def release_stage(spark: SparkSession) -> None:
+    """Delete the tables of the stages so far; call it when their results are written."""
+    for path in _STAGE.pop(spark.sparkContext.applicationId, []):
+        delete(spark, path)
+
+
 def binaries(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as UTF-8 bytes; null as empty."""
     return [x if x is not None else b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

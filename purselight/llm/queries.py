@@ -182,8 +182,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_completion.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    named = (op1_quality_rules, op2_url_filters, op3_minhash_near_dedup, op4_license_scans, op5_warc, op6_benchmark_decontamination, op7_line_dedup, op8_chat_formatting, op9_substring_dedup, op10_best_fit_packing)
+    named = (op1_quality_rules, op2_url_filters, op3_minhash_near_dedup, op4_license_scans, op5_warc, op6_benchmark_decontamination, op7_line_dedup, op8_chat_formatting, op9_substring_dedup, op10_best_fit_packing, pipeline)
     return {f.__name__: f for f in named}
 
 
