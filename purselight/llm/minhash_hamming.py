@@ -8,10 +8,12 @@ pair shares a key: with 12 chunks of 4 all pairs within 23 of 48 slots become ca
 distance has mean 12 and deviation 3; beyond the guarantee, a pair at exactly 0.75 shares no key with probability
 0.262^12, about 1e-7.)
 
-A key's classes are not paired with each other but with the least class of the key. Links between classes that these
-stars have not yet connected follow in a last step: keys whose classes still lie in several components compare
-signatures across components, in blocks, and pass on pairs within the distance. Every candidate link is confirmed on
-the full sets of both documents, held one pair at a time. Components are found by large-star and small-star steps.
+A key's classes are not paired with each other but with the key's class of least doc_id. Links between classes that
+these stars have not yet connected follow in a last step: keys whose classes still lie in several components compare
+signatures across components, in blocks. Of pairs within the distance, those go on whose sets may be similar: counts of
+shingles by hash bucket bound the intersection from above, so no similar pair is lost there. A pair is passed on by the
+first key that it shares only. Every candidate link is confirmed on the full sets of both documents, held one pair at a
+time. Components are found by large-star and small-star steps.
 
 Defined results: null text or text without words has an empty set and is linked with nothing; fewer words than five are
 one shingle; rows with equal sets are linked, repeated rows with one doc_id are all returned; a null doc_id belongs to
@@ -26,13 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from purselight.llm.common import binaries, blocks, components, cut, map_batches, mix, shingle_set, signed
 from purselight.llm.url_bloom import maybe
 
 CHUNKS, SLOTS, SHINGLE = 12, 4, 5
+BUCKETS = 512  #: of the counts that bound an intersection
 SALTS = 16
 
 
@@ -48,6 +51,18 @@ def signature(shingles: np.ndarray, n: int) -> np.ndarray:
     return (mix(least) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
+def histogram(shingles: np.ndarray) -> np.ndarray:
+    """Shingles by hash bucket, as bytes; 255 stands for any larger count."""
+    return np.minimum(np.bincount((shingles >> np.uint64(20)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8)
+
+
+def most_shared(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Upper bounds of the intersections of sets of na and nb shingles from rows of counts."""
+    full = (a == 255) & (b == 255)
+    bound = np.minimum(a, b).sum(1, dtype=np.int64)
+    return np.where(full.any(1), np.minimum(na, nb), np.minimum(bound, np.minimum(na, nb)))
+
+
 def class_key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
@@ -67,7 +82,7 @@ def keys(signatures: np.ndarray, chunks: int, slots: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, chunks: int = CHUNKS, slots: int = SLOTS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, class (16 bytes; null for an empty set), signature (bytes; null likewise)."""
+    """doc_id, n_shingles, equal (16 bytes that equal sets share; null for an empty set), signature (bytes; null likewise)."""
 
     def f(batch: pa.RecordBatch):
         for a, b in blocks(batch.num_rows, 1000):
@@ -77,9 +92,9 @@ def fingerprints(docs: DataFrame, chunks: int = CHUNKS, slots: int = SLOTS, shin
                 n.append(len(s))
                 cls.append(class_key(s) if len(s) else None)
                 sig.append(signature(s, chunks * slots).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "class", "signature"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "equal", "signature"])
 
-    return map_batches(docs.select("doc_id", F.col("text").cast("binary").alias("text")), f, "doc_id long, n_shingles long, class binary, signature binary")
+    return map_batches(docs.select("doc_id", F.col("text").cast("binary").alias("text")), f, "doc_id long, n_shingles long, equal binary, signature binary")
 
 
 def key_rows(classes: DataFrame, chunks: int, slots: int) -> DataFrame:
@@ -107,8 +122,8 @@ def within(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
     return map_batches(rows.select(*columns, "sa", "sb"), f, pairs.schema)
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """class, shingles (sorted 64-bit hashes) of the wanted rows (class, doc_id), from one row of docs each.
+def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int, counts: bool = False) -> DataFrame:
+    """class, shingles (sorted 64-bit hashes; with counts: their histogram) of the wanted rows (class, equal, doc_id).
 
     Documents that a Bloom filter rules out are dropped where they are read; their texts do not move.
     """
@@ -117,12 +132,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
     def f(batch: pa.RecordBatch):
         for a, b in blocks(batch.num_rows, 1000):
-            part = batch.slice(a, b - a)
-            sets = [shingle_set(t.lower().split(), shingle) for t in binaries(part, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array([class_key(s) if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.large_binary()).cast(pa.binary())], names=["class", "shingles"])
+            sets = [shingle_set(t.lower().split(), shingle) for t in binaries(batch.slice(a, b - a), "text")]
+            out = [(histogram(s) if counts else s).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([class_key(s) if len(s) else None for s in sets], pa.binary()), pa.array(out, pa.binary())], names=["equal", "shingles"])
 
-    sets = map_batches(near.where("maybe").select("text"), f, "class binary, shingles binary")
-    return sets.join(wanted.select("class").distinct(), "class").dropDuplicates(["class"])
+    sets = map_batches(near.where("maybe").select("text"), f, "equal binary, shingles binary")
+    return sets.join(wanted.select("equal", "class").distinct(), "equal").dropDuplicates(["class"]).select("class", "shingles")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -162,38 +177,45 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return heads.unionByName(rows).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first()).mapInArrow(f, "a binary, b binary")
 
 
-def across(members: DataFrame, most: int, block: int = 512) -> DataFrame:
-    """Pairs (a, b) of one key in different components whose signatures differ in at most `most` slots.
+def across(members: DataFrame, most: int, percent: int, chunks: int, slots: int, block: int = 512) -> DataFrame:
+    """Pairs (a, b) of one key in different components, near in signature, whose sets may be similar.
 
-    members: key, class, component, signature. Rows of a key stream through a task sorted by component; a pair is
-    compared when its later row arrives, in blocks, and only near pairs are passed on.
+    members: key, class, component, signature, n (shingles), counts. Rows of a key stream through a task sorted by
+    component; blocks of rows are compared, and a pair is passed on by the first key that both its rows have.
     """
 
-    def near(c0, s0, g0, c1, s1, g1) -> list[tuple[bytes, bytes]]:
-        d = (s0[:, None, :] != s1[None, :, :]).sum(2)
-        i, j = np.nonzero((d <= most) & (g0[:, None] != g1[None, :]))
-        return [(c1[y], c0[x]) for x, y in zip(i, j, strict=True)]
-
-    def pairs_of(rows: list[tuple]) -> Iterator[list[tuple[bytes, bytes]]]:
-        cls = [r[0] for r in rows]
+    def pairs_of(key: int, rows: list[list]) -> Iterator[list[tuple[bytes, bytes]]]:
+        cls, n = [r[0] for r in rows], np.array([r[3] for r in rows], np.int64)
         numbers: dict[bytes, int] = {}
         group = np.array([numbers.setdefault(r[1], len(numbers)) for r in rows])
         sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(len(rows), -1)
+        counts = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        slot = int(np.nonzero(signed(keys(sig[:1], chunks, slots)[0]) == key)[0][0])
         for a, b in blocks(len(rows), block):
             for c, d in blocks(len(rows), block):
-                if c >= a and not (group[a] == group[d - 1]):  # sorted by component: equal ends mean a single one
-                    yield [(x, y) for x, y in near(cls[a:b], sig[a:b], group[a:b], cls[c:d], sig[c:d], group[c:d]) if x != y]
+                if c < a or group[a] == group[d - 1]:  # sorted by component: equal ends mean a single one
+                    continue
+                differ = sig[a:b, None, :] != sig[None, c:d, :]
+                i, j = np.nonzero((differ.sum(2) <= most) & (group[a:b, None] < group[None, c:d]))
+                # The first key that two rows share: of the first chunk with one different slot at most, that slot left out.
+                by_chunk = differ[i, j].reshape(-1, chunks, slots)
+                chunk = (by_chunk.sum(2) <= 1).argmax(1)
+                i, j = (x[chunk * slots + by_chunk[np.arange(len(i)), chunk].argmax(1) == slot] for x in (i, j))
+                i, j = i + a, j + c
+                shared = most_shared(counts[i], counts[j], n[i], n[j])
+                fine = 100 * shared >= percent * (n[i] + n[j] - shared)
+                yield [(cls[x], cls[y]) for x, y in zip(i[fine], j[fine], strict=True)]
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for out in pairs_of(rows) if len(rows) > 1 else ():
+            for out in pairs_of(now, rows) if len(rows) > 1 else ():
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([max(x) for x in out], pa.binary()), pa.array([min(x) for x in out], pa.binary())], names=["a", "b"])
 
         for batch in batches:
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "class", "component", "signature")), strict=True):
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "class", "component", "signature", "n", "counts")), strict=True):
                 if key != now:
                     yield from flush()
                     now, rows = key, []
@@ -220,15 +242,17 @@ def linked(docs: DataFrame, classes: DataFrame, percent: int, chunks: int, slots
     parts = cut(components(links), "parts")
     labelled = members.join(parts.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = labelled.join(mixed, "key", "left_semi").join(classes.select("class", "signature"), "class")
-    tried = stars.select("a", "b").join(first, ["a", "b"], "left_semi").unionByName(open_)
-    rest = cut(across(rest, most).join(tried, ["a", "b"], "left_anti"), "rest")
+    rest = cut(labelled.join(mixed, "key", "left_semi"), "mixed")
+    counts = full_sets(docs, classes.join(rest.select("class").distinct(), "class", "left_semi").select("class", "equal", "doc_id"), shingle, counts=True)
+    rest = rest.join(classes.select("class", "signature", F.col("n_shingles").alias("n")), "class").join(counts.withColumnRenamed("shingles", "counts"), "class")
+    tried = first.select("a", "b").unionByName(open_)
+    rest = cut(across(rest, most, percent, chunks, slots).join(tried, ["a", "b"], "left_anti"), "rest")
     return components(cut(links.unionByName(confirmed(rest, sets_of(docs, classes, rest, shingle), percent)), "links"))
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    return cut(full_sets(docs, classes.select("class", "doc_id").join(wanted, "class", "left_semi"), shingle), "sets")
+    return cut(full_sets(docs, classes.select("class", "equal", "doc_id").join(wanted, "class", "left_semi"), shingle), "sets")
 
 
 def unjoined(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -238,18 +262,24 @@ def unjoined(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
+def ordered(equal: Column, doc_id: Column) -> Column:
+    """16 bytes that name a class and sort by doc_id, nulls last; the hash of the set tells classes of one doc_id apart."""
+    number = F.lpad(F.hex(doc_id.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return F.concat(F.unhex(F.coalesce(number, F.lit("F" * 16))), F.substring(equal, 1, 8))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, chunks: int = CHUNKS, slots: int = SLOTS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     prints = cut(fingerprints(docs, chunks, slots, shingle), "prints")
-    found = prints.where("class is not null")
-    classes = cut(found.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.count("*").alias("n")), "classes")
+    sets = prints.where("equal is not null").groupBy("equal").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
+    classes = cut(sets.withColumn("class", ordered(F.col("equal"), F.col("doc_id"))), "classes")
     parts = linked(docs, classes, percent, chunks, slots, shingle)
-    whole = classes.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    whole = classes.drop("signature").join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     # Only classes of several rows or with links need a look-up; a class may hold a third of all rows, so it is salted.
     least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.sum("n").alias("rows")).where("rows > 1").drop("rows")
-    lookup = whole.join(least, "component").select("class", "component_id").withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    lookup = whole.join(least, "component").select("equal", "component_id").withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     salted = prints.drop("signature").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    out = salted.join(lookup.withColumn("known", F.lit(True)), ["class", "salt"], "left")
+    out = salted.join(lookup.withColumn("known", F.lit(True)), ["equal", "salt"], "left")
     out = out.withColumn("component_id", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
