@@ -12,8 +12,8 @@ candidate regions; those in which `agree` hashes have a part are verified: in th
 other document's shingles cover best is cut out, and a passage is reported if both sides have `min_words` words and the
 shingle sets have a similarity of `percent` / 100.
 
-Two passages of that similarity share the min-hash of each function with probability 0.75 or more, so four functions
-miss such a pair with probability 0.25^4 at most; passages that are equal are always found.
+Two passages of that similarity share the min-hash of each function with probability 0.75 or more, so that fewer than
+two of seven functions agree with probability 0.13 % at most; passages that are equal are always found.
 
 Defined results: null, empty and short texts have no passages; only passages in documents with different doc_id are
 reported (null counts as one id); repeated rows give the same passages once; an empty table gives no rows; other
@@ -34,6 +34,7 @@ from purselight.llm.url_bloom import maybe
 
 SHINGLE = 5
 NULL_ID = -(2**63)
+REACH = 1 << 14
 _TIE = np.uint64((1 << 16) - 1)
 
 
@@ -55,10 +56,14 @@ def compact_windows(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_rows(docs: DataFrame, hashes: int, min_words: int) -> DataFrame:
-    """key, doc, c, before, after (tokens of the window before and after c), j (hash function)."""
+    """key, doc, c, ext: tokens of the window before and after c (up to REACH each) and number of the hash function, see unpack().
+
+    Windows that reach further lose nothing: what they stand for beyond belongs to other windows too, which join them.
+    """
     width = min_words - SHINGLE + 1
+    reach = max(REACH, width)
     seeds = mix(np.arange(1, hashes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    names = ["key", "doc", "c", "before", "after", "j"]
+    names = ["key", "doc", "c", "ext"]
 
     def f(batch: pa.RecordBatch):
         for a, b in blocks(batch.num_rows, 500):
@@ -71,12 +76,18 @@ def window_rows(docs: DataFrame, hashes: int, min_words: int) -> DataFrame:
                 for j, seed in enumerate(seeds):
                     v = mix(t ^ seed)
                     w = compact_windows(v & ~_TIE | tie, width)
-                    out.append((signed(v[w[:, 1]]), np.full(len(w), doc), w[:, 1], w[:, 1] - w[:, 0], w[:, 2] - w[:, 1], np.full(len(w), j)))
+                    before, after = (np.minimum(x, reach) for x in (w[:, 1] - w[:, 0], w[:, 2] - w[:, 1]))
+                    out.append((signed(v[w[:, 1]]), np.full(len(w), doc), w[:, 1], before << 36 | after << 8 | j))
             if out:
-                kinds = [np.int64, np.int64, np.int32, np.int32, np.int32, np.int8]
+                kinds = [np.int64, np.int64, np.int32, np.int64]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return map_batches(keyed(docs), f, "key long, doc long, c int, before int, after int, j byte")
+    return map_batches(keyed(docs), f, "key long, doc long, c int, ext long")
+
+
+def unpack(ext: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(before, after, hash function) of column ext."""
+    return ext >> 36, ext >> 8 & (1 << 28) - 1, ext & 255
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -98,7 +109,7 @@ def window_pairs(windows: DataFrame) -> DataFrame:
 
     Rows of a key stream through a task; what is held of a key is its first row and the last rows of two documents.
     """
-    columns = ["key", "doc", "c", "before", "after", "j"]
+    columns = ["key", "doc", "c", "ext"]
     names = ["a", "b", "a_from", "a_to", "b_from", "hashes"]
     kinds = [np.int64, np.int64, np.int32, np.int32, np.int32, np.int32]
 
@@ -107,7 +118,8 @@ def window_pairs(windows: DataFrame) -> DataFrame:
         for batch in batches:
             n = len(held[0])
             x = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, columns, strict=True)]
-            key, doc, c, before, after, j = x
+            key, doc, c, ext = x
+            before, after, j = unpack(ext)
             first, previous = partners(doc, key)
             here = np.arange(len(key))
             star = here[(here >= n) & (doc != doc[first])]
@@ -129,11 +141,9 @@ def regions(pairs: DataFrame, slack: int, agree: int) -> DataFrame:
     """Interval join of the window pairs of two documents: a, b, a_from, a_to, b_from, b_to (ends included).
 
     Stretches are sorted by their start in a; one joins a region that it overlaps, or from which at most `slack` tokens
-    separate it, in both documents. Equal stretches are first merged with their hashes.
+    separate it, in both documents.
     """
     names = ["a", "b", "a_from", "a_to", "b_from", "b_to"]
-    merged = pairs.groupBy("a", "b", "a_from", "b_from").agg(F.max("a_to").alias("a_to"), F.bit_or("hashes").alias("hashes"))
-
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, opened = None, []
 
@@ -162,12 +172,12 @@ def regions(pairs: DataFrame, slack: int, agree: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], names=names)
 
-    rows = merged.repartition("a", "b").sortWithinPartitions("a", "b", "a_from", "b_from")
+    rows = pairs.repartition("a", "b").sortWithinPartitions("a", "b", "a_from", "b_from")
     return rows.mapInArrow(f, ", ".join(f"{c} long" for c in names))
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The shingles of the wanted stretches (doc, from, to, *keys) as column shingles.
+    """The shingles of the wanted stretches (doc, from, to, *keys) as column shingles, 32 bits each.
 
     Documents without a stretch are dropped where they are read, by a Bloom filter; a task holds one document.
     """
@@ -184,7 +194,7 @@ def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 part, out = batch.slice(lo, hi - lo), []
                 for text, a, b in zip(part.column("text"), part.column("from").to_pylist(), part.column("to").to_pylist(), strict=True):
                     if (raw := text.as_py() or b"") != held:
-                        held, t = raw, tokens(raw)
+                        held, t = raw, (tokens(raw) >> np.uint64(32)).astype(np.uint32)
                     out.append(t[a : b + 1].tobytes())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), pa.array(out, pa.binary())], names=[*keys, "shingles"])
 
@@ -208,26 +218,39 @@ def longest_stretch(hit: np.ndarray, misses: int) -> tuple[int, int]:
     return (int(first[end] + at[0]), int(first[end] + at[-1] + 1)) if len(at) else (0, 0)
 
 
+def inside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each value of a is in b; b is sorted and not empty."""
+    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+
+
 def passages(a: np.ndarray, b: np.ndarray, width: int, percent: int) -> list[tuple[int, int, int, int, float]]:
     """Passages shared by two stretches of shingles: (start, end) in a and b, ends excluded, and their similarity.
 
     The longest stretch of a of which b holds three quarters, and the like of b, are tried first; then six sevenths
     (what equally long sides need for 0.75) and the densest. What lies on either side of it is searched in turn.
     """
+    if min(len(a), len(b)) < width:
+        return []
+    if len(a) == len(b) and (a == b).all():
+        return [(0, len(a), 0, len(b), 1.0)]
     out, todo = [], [(0, len(a))]
     cuts = (lambda h: longest_stretch(h, 3), lambda h: longest_stretch(h, 6), best_stretch)
+    hits = inside(a, np.sort(b))
     while todo:
         lo, hi = todo.pop()
-        hit = np.isin(a[lo:hi], b)
+        hit = hits[lo:hi]
         if hi - lo < width or hit.sum() < width * percent // 100:
             continue
         for cut_ in cuts:
             x0, x1 = (lo + v for v in cut_(hit))
-            y0, y1 = cut_(np.isin(b, a[x0:x1]))
-            if min(x1 - x0, y1 - y0) < width:
+            if x1 - x0 < width:
+                continue
+            s = np.unique(a[x0:x1])
+            y0, y1 = cut_(inside(b, s))
+            if y1 - y0 < width:
                 continue
-            s, t = np.unique(a[x0:x1]), np.unique(b[y0:y1])
-            both = len(np.intersect1d(s, t, assume_unique=True))
+            t = np.unique(b[y0:y1])
+            both = int(inside(t, s).sum())
             union = len(s) + len(t) - both
             if 100 * both >= percent * union:
                 out.append((x0, x1, y0, y1, both / union))
@@ -250,7 +273,7 @@ def verified(docs: DataFrame, found: DataFrame, width: int, percent: int) -> Dat
             out = []
             for *key, k, raw in zip(*(batch.column(c) for c in (*keys, "side", "shingles")), strict=True):
                 key = tuple(x.as_py() for x in key)
-                t = np.frombuffer(raw.as_py(), np.uint64)
+                t = np.frombuffer(raw.as_py(), np.uint32)
                 if k.as_py() == 0:
                     now, other = key, t
                 elif key == now:
@@ -263,7 +286,7 @@ def verified(docs: DataFrame, found: DataFrame, width: int, percent: int) -> Dat
     return rows.mapInArrow(f, "a long, b long, a_from long, a_to long, b_from long, b_to long, similarity double")
 
 
-def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 75, hashes: int = 4, agree: int = 1) -> DataFrame:
+def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 75, hashes: int = 7, agree: int = 2) -> DataFrame:
     """doc_id, start_word, end_word, other_id, other_start, other_end (ends excluded), similarity, class_id.
 
     A passage is linked with the first document (by id) that shares one of its signatures and with the preceding one;
