@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import itertools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 _SCRATCH: dict[str, list[str]] = {}
 _STAGE: dict[str, list[str]] = {}
+_OWN: dict[str, str] = {}
+_TOPS: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,15 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="purselight-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        where = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="purselight-")
     return where.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, remembered for clear_scratch()."""
     app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark)}/purselight-{app}/{name}-{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark)}/purselight-{app}"
+    if top not in _TOPS and top.startswith(("file:", "/")):
+        _TOPS.add(top)
+        atexit.register(shutil.rmtree, top.removeprefix("file:").replace("//", "/"), ignore_errors=True)
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
     _SCRATCH.setdefault(app, []).append(path)
     return path
 

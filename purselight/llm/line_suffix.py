@@ -34,7 +34,8 @@ NAME = ["b1", "b2", "r"]  #: rank of a suffix: ID of its first line, and place a
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("h", F.xxhash64("text"))
+    """d, h, text and the whole row as a struct, so that no column of docs can clash with those used here."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.xxhash64("text").alias("h"), "text", F.struct("*").alias("row"))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -113,30 +114,34 @@ def deleted_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
 
 
 def rewrite(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """docs with the new text, and deleted_lines (how many lines went).
+    """docs with the new text, and a last column deleted_lines (how many lines went).
 
     Deleted line numbers are gathered per document, which bounds them by its lines. Documents that a Bloom filter shows
     to lose none pass where they are read; only the others move.
     """
     gone = cut(deleted_lines(docs, min_words).groupBy(*DOC).agg(F.collect_set("line").alias("gone")), "gone")
-    names = [c for c in docs.columns if c not in ("d", "h", "gone", "deleted_lines", "maybe")]
-    if len(names) != len(docs.columns):
-        raise ValueError("columns named d, h, gone, deleted_lines and maybe are taken here")
     key = F.concat_ws(":", "d", "h")
-    probed = maybe(keyed(docs).withColumn("line_key", key), "line_key", gone.select(key.alias("url")))
-    lines = F.split("text", "\n", -1)
-    left = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
+    rows = keyed(docs).select(*DOC, "row").withColumn("line_key", key)
+    probed = maybe(rows, "line_key", gone.select(key.alias("url")))
     moved = probed.where("maybe").join(gone, DOC, "left")
-    moved = moved.withColumn("deleted_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    if "n_chars" in names:
-        moved = moved.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    same = probed.where("not maybe").withColumn("deleted_lines", F.lit(0).cast("long"))
-    return moved.select(*names, "deleted_lines").unionByName(same.select(*names, "deleted_lines"))
+    left = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    whole = moved.withColumn("new", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left))
+
+    def column(name: str) -> Column:
+        if name == "n_chars":
+            return F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.char_length("new").cast(docs.schema[name].dataType)).alias(name)
+        return F.col("new").alias(name) if name == "text" else F.col(f"row.`{name}`")
+
+    lost = F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("deleted_lines")
+    same = probed.where("not maybe").select("row.*", F.lit(0).cast("long").alias("deleted_lines"))
+    return whole.select(*map(column, docs.columns), lost).union(same)
 
 
 def filter_documents(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """docs with later copies of runs deleted, without the documents of which no word is left through that."""
-    return rewrite(docs, min_words).where((F.col("deleted_lines") == 0) | F.col("text").rlike(WORD)).drop("deleted_lines")
+    out = rewrite(docs, min_words).toDF(*(f"c{i}" for i in range(len(docs.columns))), "deleted_lines")
+    text = F.col(f"c{docs.columns.index('text')}")
+    return out.where((F.col("deleted_lines") == 0) | text.rlike(WORD)).drop("deleted_lines").toDF(*docs.columns)
 
 
 def maximal_runs(docs: DataFrame, min_words: int = 8) -> DataFrame:

@@ -290,6 +290,7 @@ def filter_documents(docs: DataFrame, **how) -> DataFrame:
     Documents that a Bloom filter shows to be none of those dropped pass where they are read; only the others move.
     """
     dropped = cut(near_duplicates(docs, **how).where("not kept and doc_id is not null").select("doc_id").distinct(), "dropped")
-    probed = maybe(docs.withColumn("dropped_key", F.col("doc_id").cast("string")), "dropped_key", dropped.select(F.col("doc_id").cast("string").alias("url")))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.col("doc_id").cast("string").alias("dropped_key"))
+    probed = maybe(rows, "dropped_key", dropped.select(F.col("doc_id").cast("string").alias("url")))
     rest = probed.where("maybe").join(dropped, "doc_id", "left_anti")
-    return probed.where("not maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))
+    return probed.where("not maybe").select("row.*").union(rest.select("row.*"))

@@ -42,7 +42,7 @@ def test_against_brute_force(spark):
     rows = list(enumerate(corpus(rng)))
     big = "\n".join(f"line number {i} of a long text that has a copy" for i in range(300))
     rows += [(500, big), (501, big + "\nmore"), (502, "x " * 9 + "\n" + ("x " * 9 + "\n") * 20), (600, None), (601, ""), (602, "\n\n"), (None, rows[3][1]), rows[7], rows[7]]
-    df = spark.createDataFrame([(d, t, "s", -5) for d, t in rows], "doc_id long, text string, line string, n_chars int")
+    df = spark.createDataFrame([(d, t, "s", -5) for d, t in rows], "doc_id long, text string, d string, n_chars int").withColumnsRenamed({"d": "gone"})
     gone = brute(rows)
     got = ls.rewrite(df).collect()
     want = []

@@ -67,7 +67,7 @@ def test_against_brute_force(spark):
     texts = [*corpus(rng, 40, 12), None, "", " \n", "one", "ONE", "one two", "\x1cone", "a b c d e"]
     rows = list(enumerate(texts))
     rows += [rows[5], rows[5], (None, texts[7]), (None, "only null here now"), (None, "only null here now")]
-    df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, kept int, component_id string")
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, block int, maybe string")
     got = sorted((tuple(r) for r in mh.near_duplicates(df).collect()), key=str)
     want = sorted(((d, n, c, k if d is not None else c is None) for d, n, c, k in brute(rows)), key=str)
     assert got == want
