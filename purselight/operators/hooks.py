@@ -7,10 +7,13 @@ import json
 import time
 from collections.abc import Awaitable, Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from purselight.functions import numbers
+
 Ask = Callable[[list[dict]], Awaitable[str]]
 
 
@@ -77,6 +80,20 @@ def stub_client() -> Ask:
     return ask
 
 
+def classify(texts: DataFrame, model: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 16) -> DataFrame:
+    """id, scores (softmax of the logits), p (the first largest), from a classifier made once in each task. texts: id, text."""
+
+    def f(batches):
+        logits = model()
+        for rows in batches:
+            for a in range(0, len(rows), batch):
+                part = rows.iloc[a : a + batch]
+                yield pd.DataFrame({"id": part.id, "logits": [x.tolist() for x in np.asarray(logits(part.text.tolist()), float)]})
+
+    out = texts.select("id", "text").mapInPandas(f, "id long, logits array<double>")
+    return out.select("id", numbers.softmax(F.col("logits")).alias("scores"), numbers.argmax(F.col("logits")).alias("p"))
+
+
 def run_all(runs: list[dict], train: Callable[[dict], dict]) -> list[dict]:
     """Train each run in turn; a failure becomes the run's error and does not stop the others."""
     out = []

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,3 +107,18 @@ def adapter_metric(document: dict, split: str, name: str):
         if value is not None:
             return value
     return None
+
+
+def adapter_rows(folder: str, splits: tuple[str, ...] = ("val", "test"), name: str = "metrics.json") -> list[tuple]:
+    """Result rows of trained adapters: <folder>/<run>/<name> for each run, else the runs of <folder>/summary.json."""
+    found = {p.parent.name: json.loads(p.read_text(encoding="utf-8")) for p in sorted(Path(folder).glob(f"*/{name}"))}
+    whole = Path(folder) / "summary.json"
+    if not found and whole.exists():
+        found = {r["name"]: r["metrics"] for r in json.loads(whole.read_text(encoding="utf-8")) if r.get("metrics")}
+    rows = []
+    for run, document in found.items():
+        for split in splits:
+            values = {m: adapter_metric(document, split, m) for m in METRICS}
+            if any(v is not None for v in values.values()):
+                rows += flatten({split: {k: v for k, v in values.items() if v is not None}}, "adapter", run)
+    return rows

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from purselight.functions import numbers, text
-from purselight.operators import claims, clustering, features, metrics, models, pivot, profile, splits, summary, vectors
+from purselight.operators import claims, clustering, features, hooks, metrics, models, pivot, profile, splits, summary, vectors
 from purselight.schema import Settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -620,3 +620,30 @@ def profile_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def churn_profile_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profiles(trx_o(spark, sf_dir), _settings(True))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clients = trx_o(spark, sf_dir).groupBy("customer_id").agg(profile.label().alias("label"), F.concat(F.lit("n = "), F.count("*").cast("string")).alias("client_stats"))
+    rows = claims.dialogues(claims.prompts(clients, "{CLIENT_STATS}", "s", "", ""), 2)
+    return hooks.complete(rows.select("customer_id", "label", "sample_id", "messages"), hooks.stub_client)
+
+
+@query()
+def stub_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of the stand-in for a language model, two samples of each client."""
+    said = _asked(spark, sf_dir).withColumn("predicted_raw", text.boxed(F.col("explanation")))
+    return said.withColumn("predicted", text.label_of(F.col("predicted_raw"), {"0": "активный клиент", "1": "отток"})).drop("execution_time")
+
+
+@query()
+def stub_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of those answers, merged by client, cleaned, one in a row."""
+    merged = claims.merge_claims(_asked(spark, sf_dir).withColumn("claims", text.claims_of(F.col("explanation"))))
+    return claims.flatten_claims(merged, cyrillic_only=True, labelled_only=True)
+
+
+@query()
+def claim_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of conversation turns from the stand-in for a sentence encoder."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return vectors.embed(rows, vectors.hash_encoder(16)).select("id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,19 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_TOPS: set[str] = set()
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="purselight-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        where = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="purselight-")
     return where.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: what follows does not depend on lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/purselight-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark)}/purselight-plans-{spark.sparkContext.applicationId}"
+    if top not in _TOPS and top.startswith(("file:", "/")):
+        _TOPS.add(top)
+        atexit.register(shutil.rmtree, top.removeprefix("file:").replace("//", "/"), ignore_errors=True)
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from purselight import schema
 from purselight.functions import text
-from purselight.operators import claims, hooks
+from purselight.operators import claims, hooks, metrics
 from purselight.sources import files, sinks
 from purselight.streaming import incremental
 
@@ -83,6 +83,22 @@ def test_language_model_hook(spark):
     assert len(out) == 4 and out[(1, 0)].predicted in (0, 1) and len(out[(1, 0)].claims) == 2 and out[(1, 0)].error is None
 
 
+def test_classifier_hook(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "abc")], "id long, text string")
+    got = {r.id: r for r in hooks.classify(rows, lambda: lambda texts: [[2.0, len(t)] for t in texts], 1).collect()}
+    assert got[1].p == 0 and got[2].p == 1 and sum(got[2].scores) == pytest.approx(1)
+
+
+def test_adapter_results(tmp_path):
+    (tmp_path / "run").mkdir()
+    (tmp_path / "run/metrics.json").write_text('{"val_accuracy": 0.7, "test": {"eval_accuracy": 0.6, "n": 4}}', encoding="utf-8")
+    rows = metrics.adapter_rows(str(tmp_path))
+    assert [(r[:4], r[-2:]) for r in rows] == [(("adapter", "run", "val", 0.7), (None, 1.0)), (("adapter", "run", "test", 0.6), (4, 1.0))]
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other/summary.json").write_text('[{"name": "r", "metrics": {"val_mcc": 0.1}}, {"name": "s", "metrics": null}]', encoding="utf-8")
+    assert [r[1] for r in metrics.adapter_rows(str(tmp_path / "other"))] == ["r"]
+
+
 def test_retries():
     calls = []
 
