@@ -28,18 +28,31 @@ def mean(cond: Column, value: Column) -> Column:
 
 
 def core(trx: DataFrame) -> DataFrame:
-    """Counts, active days and months, income and expense (a mean without rows is null)."""
+    """Counts, active days and months, income and expense (a mean without rows is null).
+
+    Days are summed up first: what is shuffled is a row per client and day, and no distinct count multiplies rows.
+    """
     amount, ts = F.col("amount"), F.col("tr_datetime")
     income, expense = amount > 0, amount < 0
-    total = lambda cond: F.coalesce(F.sum(F.when(cond, amount)).cast("double"), F.lit(0.0))
-    out = trx.groupBy("customer_id").agg(
-        label().alias("label"), F.count("*").alias("n_txn"), active(F.to_date(ts)).alias("active_days"), active(F.trunc(ts, "MM")).alias("active_months"),
-        total(income).alias("total_income"), total(expense).alias("total_expense"), mean(income, amount).alias("avg_income"), mean(expense, amount).alias("avg_expense"),
-        (F.count_if(income) / F.count("*")).alias("share_income"), (F.count_if(expense) / F.count("*")).alias("share_expense"),
+    days = trx.groupBy("customer_id", F.to_date(ts).alias("day")).agg(
+        F.min(F.when(ts.isNotNull(), F.struct(ts.alias("ts"), "label"))).alias("first"), F.min("label").alias("label"), F.count("*").alias("n"), F.count_if(income).alias("n_income"), F.count_if(expense).alias("n_expense"),
+        F.sum(F.when(income, amount)).alias("income"), F.sum(F.when(expense, amount)).alias("expense"),
+    )
+    total = lambda c: F.sum(c).cast("double")
+    out = days.groupBy("customer_id").agg(
+        F.coalesce(F.min("first")["label"], F.min("label")).alias("label"), F.sum("n").alias("n_txn"), F.greatest(F.count("day"), F.lit(1)).alias("active_days"), active(F.trunc("day", "MM")).alias("active_months"),
+        F.coalesce(total("income"), F.lit(0.0)).alias("total_income"), F.coalesce(total("expense"), F.lit(0.0)).alias("total_expense"), (total("income") / F.nullif(F.sum("n_income"), F.lit(0))).alias("avg_income"),
+        (total("expense") / F.nullif(F.sum("n_expense"), F.lit(0))).alias("avg_expense"), (F.sum("n_income") / F.sum("n")).alias("share_income"), (F.sum("n_expense") / F.sum("n")).alias("share_expense"),
     )
     return out.withColumns({"txn_per_day": F.col("n_txn") / F.col("active_days"), "txn_per_month": F.col("n_txn") / F.col("active_months")})
 
 
+def active_units(trx: DataFrame) -> DataFrame:
+    """customer_id, days, months with transactions; a missing time is no day, but a month of its own."""
+    days = trx.groupBy("customer_id", F.to_date("tr_datetime").alias("day")).agg(F.count("*").alias("n"))
+    return days.groupBy("customer_id").agg(F.count("day").alias("active_days"), F.count_distinct(F.coalesce(dates.month(F.col("day")), F.lit("NaT"))).alias("active_months"))
+
+
 def amounts(trx: DataFrame) -> DataFrame:
     """Sum, mean, median, least, largest and deviation (0 for one row) of amounts; categories and their diversity."""
     out = trx.groupBy("customer_id").agg(
@@ -100,18 +113,20 @@ def bucket(name: str) -> Column:
 def dynamics(trx: DataFrame, types: bool = True) -> DataFrame:
     """Counts, sums, categories and type shares by half and quarter, and the changes between them.
 
-    For clients with more than one row and different times; all others have no row here.
+    For clients with more than one row and different times; all others have no row here. Categories are summed up
+    first, so that counting them needs no distinct aggregate.
     """
     rows = with_span(trx)
-    cols = []
+    kind, cols, sums = F.col("trx_cat_ru"), [], []
     for name in ("first_half", "second_half", "early_quarter", "recent_quarter"):
         inside = bucket(name)
-        cols += [F.count_if(inside).alias(f"{name}_txn"), F.coalesce(F.sum(F.when(inside, F.col("amount"))).cast("double"), F.lit(0.0)).alias(f"{name}_amount"), F.count_distinct(F.when(inside, F.col("mcc_code_desc"))).alias(f"{name}_categories")]
-        if types:
-            kind = F.col("trx_cat_ru")
-            for part, cond in (("pos", kind == POS), ("atm", F.lower(kind).contains(CASH)), ("deposit", kind == DEPOSIT)):
-                cols.append(numbers.share(F.count_if(inside & cond), F.count_if(inside)).alias(f"{name}_{part}_share"))
-    out = rows.groupBy("customer_id").agg(F.count("*").alias("n"), F.max("hi").alias("hi"), F.min("lo").alias("lo"), *cols).where("n > 1 and hi > lo").drop("n", "hi", "lo")
+        cols += [F.count_if(inside).alias(f"{name}_txn"), F.sum(F.when(inside, F.col("amount"))).alias(f"{name}_amount")]
+        sums += [F.sum(f"{name}_txn").alias(f"{name}_txn"), F.coalesce(F.sum(f"{name}_amount").cast("double"), F.lit(0.0)).alias(f"{name}_amount"), F.count_if((F.col(f"{name}_txn") > 0) & F.col("mcc_code_desc").isNotNull()).alias(f"{name}_categories")]
+        for part, cond in (("pos", kind == POS), ("atm", F.lower(kind).contains(CASH)), ("deposit", kind == DEPOSIT)) if types else ():
+            cols.append(F.count_if(inside & cond).alias(f"{name}_{part}"))
+            sums.append(numbers.share(F.sum(f"{name}_{part}"), F.sum(f"{name}_txn")).alias(f"{name}_{part}_share"))
+    by_category = rows.groupBy("customer_id", "mcc_code_desc").agg(F.count("*").alias("n"), F.max("hi").alias("hi"), F.min("lo").alias("lo"), *cols)
+    out = by_category.groupBy("customer_id").agg(F.sum("n").alias("n"), F.max("hi").alias("hi"), F.min("lo").alias("lo"), *sums).where("n > 1 and hi > lo").drop("n", "hi", "lo")
     c, one = F.col, F.lit(1)
     return out.withColumns(
         {
