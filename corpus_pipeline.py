@@ -17,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from purselight.llm import bin_completion, common, decontaminate, line_suffix, minhash_hamming, quality_forest, queries
+from purselight.plans.ship import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -46,6 +47,7 @@ def _tidy(stage: Stage) -> Stage:
     """The stage; first it deletes tables that an earlier stage left in the shared folder, whose result is written by then."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
         common.release_stage(spark)
         with common.stage_scratch(spark):
             return stage(spark, docs, sf_dir)

@@ -3,8 +3,8 @@
 Each document gets rule statistics (words, symbols, repeated lines and words, upper case, marks). For each family of
 rules one isolation forest holds random splits of a sample of labelled documents; a document's anomaly is 2^(-mean
 path length / expected path length). A family's threshold is the one that best separates the labelled good from the
-labelled bad rows among those which lose at most `lost` of the good rows; a family without such a threshold rejects
-nothing. A document is kept if no base rule fails and no family's anomaly exceeds its threshold.
+labelled bad rows that earlier families leave, among those which lose at most `lost` of the good rows; a family without
+such a threshold rejects nothing. A document is kept if no base rule fails and no family's anomaly exceeds its threshold.
 
 The forests are fitted on at most `fit_rows` labelled documents, those with the least hash of their id, which is the
 one bounded sample here; statistics, scores and verdicts cover every document and the whole of its text.
@@ -150,7 +150,7 @@ class Forest:
 def calibrate(good: np.ndarray, bad: np.ndarray, lost: float) -> float:
     """The anomaly above which rows are rejected: best share of bad rows caught less good rows lost."""
     best, at = 0.0, float("inf")
-    for t in np.unique(good):
+    for t in np.unique(good) if len(bad) else ():
         share = float((good > t).mean())
         if share <= lost and (gain := float((bad > t).mean()) - share) > best:
             best, at = gain, float(t)
@@ -188,11 +188,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 4096, trees: int = 6
     if not (len(y) and (y == 0).any() and (y != 0).any()):
         return Model({})
     x = np.array([v for *_, v in got])
-    forests = {}
+    forests, left = {}, np.ones(len(y), bool)
     for name, columns in FAMILIES.items():
         forest = Forest.fit(x, [FEATURES.index(c) for c in columns], trees, sample, seed)
         anomaly = forest.anomaly(x)
-        forest.threshold = calibrate(anomaly[y != 0], anomaly[y == 0], lost)
+        # Only bad rows that no earlier family rejects count for a family: it should lose good rows for nothing less.
+        forest.threshold = calibrate(anomaly[left & (y != 0)], anomaly[left & (y == 0)], lost)
+        left &= anomaly <= forest.threshold
         forests[name] = forest
     return Model(forests)
 
