@@ -36,9 +36,7 @@ class ByteBpe:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
+        self.path, self._slow = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [x["content"] for x in spec["added_tokens"]]
@@ -50,7 +48,8 @@ class ByteBpe:
         import tiktoken
 
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
-        vocab = {k: v for k, v in model["vocab"].items() if k not in {x["content"] for x in spec["added_tokens"]}}
+        added = {x["content"] for x in spec["added_tokens"]}
+        vocab = {k: v for k, v in model["vocab"].items() if k not in added}
         merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         ids = [vocab.get(m, -1) for m in merges]
         plain = model["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec["normalizer"] and not model.get("ignore_merges")
@@ -62,6 +61,15 @@ class ByteBpe:
         ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items()}
         return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def slow(self):
+        """The tokenizer itself; loaded only where a text needs it, as it takes much memory in each worker."""
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+        return self._slow
+
     def ids(self, text: str) -> list[int]:
         if self.fast is None or any(x in text for x in self.added):
             return self.slow.encode(text, add_special_tokens=False).ids

@@ -93,8 +93,16 @@ def binaries(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x if x is not None else b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def keep_batches_small(spark: SparkSession, most: str = "4m") -> None:
+    """Let Arrow batches hold 4 MiB where the session has Spark's default of 64, which each task holds several times."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, most)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | list | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch that gives one batch, several or none."""
+    keep_batches_small(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,6 +110,8 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | li
                 continue
             out = f(batch)
             yield from ([out] if isinstance(out, pa.RecordBatch) else out or [])
+            del batch, out
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -28,7 +28,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from purselight.llm.common import cut, scratch_path
+from purselight.llm.common import cut, keep_batches_small, scratch_path
 
 CHUNK = 1 << 18
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -194,5 +194,6 @@ def summary(chunks: DataFrame) -> DataFrame:
 
 def archive(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
     """Write archives of pages and give their manifest, a written table."""
+    keep_batches_small(pages.sparkSession)
     folder = folder or scratch_path(pages.sparkSession, "warc")
     return cut(write(records(pages, least_bytes), folder, chunk), "manifest")
