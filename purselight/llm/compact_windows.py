@@ -176,27 +176,29 @@ def regions(pairs: DataFrame, slack: int, agree: int) -> DataFrame:
     return rows.mapInArrow(f, ", ".join(f"{c} long" for c in names))
 
 
-def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def cut_out(docs: DataFrame, wanted: DataFrame, most: int = 500) -> DataFrame:
     """The shingles of the wanted stretches (doc, from, to, *keys) as column shingles, 32 bits each.
 
-    Documents without a stretch are dropped where they are read, by a Bloom filter; a task holds one document.
+    Documents without a stretch are dropped where they are read, by a Bloom filter. The stretches of a document come in
+    groups of about `most`, each with the text once, so that a document many others share does not send it with each.
     """
     keys = [c for c in wanted.columns if c not in ("doc", "from", "to")]
     ids = wanted.select(F.col("doc").cast("string").alias("url")).distinct()
     near = maybe(keyed(docs).withColumn("id", F.col("doc").cast("string")), "id", ids).where("maybe").select("doc", "text")
-    rows = near.join(wanted, "doc").select("doc", "from", "to", *keys, "text")
+    parts = wanted.groupBy("doc").agg(F.ceil(F.count("*") / most).alias("parts"))
+    some = wanted.join(parts, "doc").withColumn("part", F.pmod(F.xxhash64(*keys), F.col("parts"))).groupBy("doc", "part").agg(F.collect_list(F.struct("from", "to", *keys)).alias("x"))
+    rows = near.join(some, "doc").select("text", "x")
     kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in wanted.schema if x.name in keys)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, t = None, None
         for batch in batches:
-            for lo, hi in blocks(batch.num_rows, 200):
-                part, out = batch.slice(lo, hi - lo), []
-                for text, a, b in zip(part.column("text"), part.column("from").to_pylist(), part.column("to").to_pylist(), strict=True):
-                    if (raw := text.as_py() or b"") != held:
-                        held, t = raw, (tokens(raw) >> np.uint64(32)).astype(np.uint32)
-                    out.append(t[a : b + 1].tobytes())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), pa.array(out, pa.binary())], names=[*keys, "shingles"])
+            for text, x in zip(batch.column("text"), batch.column("x"), strict=True):
+                t = (tokens(text.as_py() or b"") >> np.uint64(32)).astype(np.uint32)
+                part = x.values
+                for lo, hi in blocks(len(part), most):
+                    some_ = part.slice(lo, hi - lo)
+                    out = [t[a : b + 1].tobytes() for a, b in zip(some_.field("from").to_pylist(), some_.field("to").to_pylist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(some_.field(c) for c in keys), pa.array(out, pa.binary())], names=[*keys, "shingles"])
 
     return rows.mapInArrow(f, f"{kinds}, shingles binary")
 
