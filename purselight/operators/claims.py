@@ -39,9 +39,19 @@ def raw_answers(answers: DataFrame, errors: int = 3) -> DataFrame:
 
 
 def unique_claims(claims: Column) -> Column:
-    """Claims without repetitions that differ in case only; the first spelling stays."""
-    low = F.transform(claims, F.lower)
-    return F.filter(claims, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    """Claims without repetitions that differ in case only; the first spelling stays.
+
+    One pass that carries the lower-case forms seen: an expression over the whole array would be evaluated anew for
+    each element.
+    """
+    pairs = F.transform(claims, lambda x: F.struct(F.lower(x).alias("low"), x.alias("claim")))
+    none = F.array().cast("array<string>")
+
+    def add(seen: Column, x: Column) -> Column:
+        more = F.struct(F.array_append(seen["low"], x["low"]).alias("low"), F.array_append(seen["claims"], x["claim"]).alias("claims"))
+        return F.when(F.array_contains(seen["low"], x["low"]), seen).otherwise(more)
+
+    return F.aggregate(pairs, F.struct(none.alias("low"), none.alias("claims")), add, lambda seen: seen["claims"])
 
 
 def merge_claims(rows: DataFrame) -> DataFrame:
