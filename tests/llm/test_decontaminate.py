@@ -92,3 +92,32 @@ def test_empty(spark):
     full = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert dc.contaminated(docs.limit(0), full).collect() == []
     assert dc.filter_documents(docs, full).count() == 0
+
+
+def test_edited_copies_without_long_runs(spark):
+    """All that plain Smith-Waterman finds is found, also copies that keep no five, three or two words in a row."""
+    rng = random.Random(11)
+    items = [(m * 10 + k, " ".join(words(rng, m))) for m in (1, 2, 3, 4, 5, 6, 7, 9, 20, 30, 50) for k in range(2)]
+    docs = [(0, items[-1][1]), (1, items[-4][1])]  # clean copies, so that unbroken n-grams have more documents than broken ones
+    for _, text in items:
+        for every in (1, 2, 3, 4, 5):
+            for insert in (False, True):
+                copy = []
+                for k, w in enumerate(text.split()):
+                    copy += ([w] if insert or k % every != every // 2 else []) + (words(rng, 1) if k % every == every // 2 else [])
+                docs.append((len(docs), " ".join([*words(rng, rng.randint(0, 9)), *copy, *words(rng, rng.randint(0, 9))])))
+        scattered = text.split()
+        for _ in range(int(0.8 * len(scattered)) + 1):
+            scattered.insert(rng.randint(0, len(scattered)), words(rng, 1)[0])
+        docs.append((len(docs), " ".join(scattered)))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for least in (0.6, 0.9):
+        got = {(r.doc_id, r.item_id): r.score for r in dc.contaminated(df, bench, least=least).collect()}
+        want = {(d, i): s for d, i, s in brute(docs, items, least, 1)}
+        assert got == want
+    assert sum(s < 0.75 for _, _, s in brute(docs, items, 0.6, 1)) > 40
+
+
+def test_shared_run():
+    assert [dc.shared_run(m, 0.6) for m in (1, 2, 5, 6, 9, 59)] == [1, 1, 1, 2, 2, 2]
+    assert dc.shared_run(30, 1.0) == 30 and dc.shared_run(30, 0.95) == 8
