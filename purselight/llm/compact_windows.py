@@ -228,14 +228,28 @@ def inside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def passages(a: np.ndarray, b: np.ndarray, width: int, percent: int) -> list[tuple[int, int, int, int, float]]:
     """Passages shared by two stretches of shingles: (start, end) in a and b, ends excluded, and their similarity.
 
-    The longest stretch of a of which b holds three quarters, and the like of b, are tried first; then six sevenths
-    (what equally long sides need for 0.75) and the densest. What lies on either side of it is searched in turn.
+    What the search along a leaves of b is searched along b.
     """
     if min(len(a), len(b)) < width:
         return []
     if len(a) == len(b) and (a == b).all():
         return [(0, len(a), 0, len(b), 1.0)]
-    out, todo = [], [(0, len(a))]
+    out = search(a, b, width, percent, [(0, len(a))])
+    left, at = [], 0
+    for y0, y1 in sorted(x[2:4] for x in out):
+        left.append((at, y0))
+        at = max(at, y1)
+    return out + [(x0, x1, y0, y1, s) for y0, y1, x0, x1, s in search(b, a, width, percent, [*left, (at, len(b))])]
+
+
+def search(a: np.ndarray, b: np.ndarray, width: int, percent: int, todo: list[tuple[int, int]]) -> list[tuple[int, int, int, int, float]]:
+    """passages() along the parts todo of a.
+
+    The longest stretch of a of which b holds three quarters, and the like of b, are tried first; then six sevenths
+    (what equally long sides need for 0.75) and the densest. What lies on either side of it is searched in turn. Where
+    all fail, as b holds parts of the stretch in different places, the part that b's stretch covers and the rest are.
+    """
+    out = []
     cuts = (lambda h: longest_stretch(h, 3), lambda h: longest_stretch(h, 6), best_stretch)
     hits = inside(a, np.sort(b))
     while todo:
@@ -243,6 +257,7 @@ def passages(a: np.ndarray, b: np.ndarray, width: int, percent: int) -> list[tup
         hit = hits[lo:hi]
         if hi - lo < width or hit.sum() < width * percent // 100:
             continue
+        split = None
         for cut_ in cuts:
             x0, x1 = (lo + v for v in cut_(hit))
             if x1 - x0 < width:
@@ -256,7 +271,14 @@ def passages(a: np.ndarray, b: np.ndarray, width: int, percent: int) -> list[tup
             union = len(s) + len(t) - both
             if 100 * both >= percent * union:
                 out.append((x0, x1, y0, y1, both / union))
+                split = None
                 break
+            u0, u1 = (x0 + v for v in cut_(inside(a[x0:x1], t)))
+            if split is None and 0 < u1 - u0 < x1 - x0:
+                split = x0, u0, u1, x1
+        if split:
+            x0, u0, u1, x1 = split
+            todo += [(x0, u0), (u0, u1), (u1, x1)]
         if x1 > x0:
             todo += [(lo, x0), (x1, hi)]
     return out

@@ -94,3 +94,21 @@ def test_brute_force_on_small_texts(spark):
 
 def test_empty(spark):
     assert cw.near_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_copies_that_leave_out_a_paragraph():
+    """Passages side by side in one text and apart in the other are found, whichever text comes first."""
+    rng = random.Random(5)
+    for size in (55, 60, 80, 100):
+        for gap in (0, 10, 35, 50, 70, 88):
+            p, q, r, lost, also = (words(rng, n) for n in (size, size, size, gap, gap))
+            one, other = (cw.tokens(" ".join(x).encode()) for x in (p + q + r, words(rng, 20) + p + lost + q + also + r))
+            for a, b, swap in ((one, other, False), (other, one, True)):
+                got = cw.passages(a, b, 46, 75)
+                covered = np.zeros(len(one), bool)
+                for x0, x1, y0, y1, s in got:
+                    u, v = np.unique(a[x0:x1]), np.unique(b[y0:y1])
+                    assert s >= 0.75 and abs(s - len(np.intersect1d(u, v)) / len(np.union1d(u, v))) < 1e-9 and min(x1 - x0, y1 - y0) >= 46
+                    covered[slice(y0, y1) if swap else slice(x0, x1)] = True
+                for k in range(3):
+                    assert covered[k * size : (k + 1) * size - 4].all(), (size, gap, swap, k)
