@@ -7,11 +7,15 @@ subsequence that holds c within l..r, and they all have the hash of token c as s
 so that the tree stays balanced in monotonous texts.)
 
 Windows with one signature meet sorted by document. A window is paired with the first and with the preceding one of
-another document, never with all. Pairs of windows of two documents are joined as intervals, over all hashes, into
+another document at first. Pairs of windows of two documents are joined as intervals, over all hashes, into
 candidate regions; those in which `agree` hashes have a part are verified: in the region, the stretch that the
 other document's shingles cover best is cut out, and a passage is reported if both sides have `min_words` words and the
 shingle sets have a similarity of `percent` / 100.
 
+Keys whose windows then still lie in different classes of passages are compared in full: of all pairs of windows of
+other documents and classes, those that share as many shingles as two similar passages must are verified as well, one
+agreeing hash being enough.
+
 Two passages of that similarity share the min-hash of each function with probability 0.75 or more, so that fewer than
 two of seven functions agree with probability 0.13 % at most; passages that are equal are always found.
 
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from purselight.llm.common import binaries, blocks, components, cut, grams, map_batches, mix, signed, word_hashes
@@ -104,6 +108,35 @@ def partners(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.where(start > first, start - 1, -1)
 
 
+def shared_windows(windows: DataFrame) -> DataFrame:
+    """The windows of keys that two or more documents hold; tried: window_pairs() makes all pairs of the key."""
+    columns = ["key", "doc", "c", "ext"]
+    kinds = [np.int64, np.int64, np.int32, np.int64]
+
+    def rows(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, doc = x[:2]
+        if not len(key):
+            return
+        start = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
+        size = np.diff(np.r_[start, len(key)])
+        documents = np.add.reduceat(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])].astype(np.int64), start)
+        keep, tried = np.repeat(documents > 1, size), np.repeat((size <= 3) & (documents == size), size)
+        if keep.any():
+            out = [pa.array(v[keep].astype(k)) for v, k in zip(x, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(tried[keep])], names=[*columns, "tried"])
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * len(columns)  # the rows of the last key
+        for batch in batches:
+            x = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, columns, strict=True)]
+            at = int(np.searchsorted(x[0], x[0][-1], "left")) if len(x[0]) else 0
+            yield from rows([v[:at] for v in x])
+            held = [v[at:] for v in x]
+        yield from rows(held)
+
+    return windows.repartition("key").sortWithinPartitions("key", "doc", "c").mapInArrow(f, "key long, doc long, c int, ext long, tried boolean")
+
+
 def window_pairs(windows: DataFrame) -> DataFrame:
     """a, b (b < a), and for the stretch that both windows' tokens can share: from and to in a, from in b, bit of j.
 
@@ -176,8 +209,8 @@ def regions(pairs: DataFrame, slack: int, agree: int) -> DataFrame:
     return rows.mapInArrow(f, ", ".join(f"{c} long" for c in names))
 
 
-def cut_out(docs: DataFrame, wanted: DataFrame, most: int = 500) -> DataFrame:
-    """The shingles of the wanted stretches (doc, from, to, *keys) as column shingles, 32 bits each.
+def cut_out(docs: DataFrame, wanted: DataFrame, most: int = 500, bits: int = 32) -> DataFrame:
+    """The shingles of the wanted stretches (doc, from, to, *keys) as column shingles, 32 or 16 bits each.
 
     Documents without a stretch are dropped where they are read, by a Bloom filter. The stretches of a document come in
     groups of about `most`, each with the text once, so that a document many others share does not send it with each.
@@ -193,7 +226,7 @@ def cut_out(docs: DataFrame, wanted: DataFrame, most: int = 500) -> DataFrame:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, x in zip(batch.column("text"), batch.column("x"), strict=True):
-                t = (tokens(text.as_py() or b"") >> np.uint64(32)).astype(np.uint32)
+                t = (tokens(text.as_py() or b"") >> np.uint64(64 - bits)).astype(f"u{bits // 8}")
                 part = x.values
                 for lo, hi in blocks(len(part), most):
                     some_ = part.slice(lo, hi - lo)
@@ -310,17 +343,129 @@ def verified(docs: DataFrame, found: DataFrame, width: int, percent: int) -> Dat
     return rows.mapInArrow(f, "a long, b long, a_from long, a_to long, b_from long, b_to long, similarity double")
 
 
+def passage_classes(found: DataFrame) -> DataFrame:
+    """doc, from, to (tokens, `to` excluded), label: the places of verified passages, overlapping ones as one, and what links join."""
+    side = lambda d: found.select(F.col(d).alias("doc"), F.col(f"{d}_from").alias("from"), (F.col(f"{d}_to") - SHINGLE + 1).alias("to"))
+    order = Window.partitionBy("doc").orderBy("from", "to")
+    places = side("a").unionByName(side("b")).distinct()
+    places = places.withColumn("new", F.coalesce((F.col("from") >= F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1)))
+    places = places.withColumn("n", F.sum("new").over(order)).withColumn("node", F.xxhash64("doc", "n"))
+    places = cut(places.select("doc", "from", "to", "node"), "places")
+    end = lambda d: places.select(F.col("doc").alias(d), F.col("from").alias(f"{d}_from"), (F.col("to") + SHINGLE - 1).alias(f"{d}_to"), F.col("node").alias(f"{d}_node"))
+    edges = found.join(end("a"), ["a", "a_from", "a_to"]).join(end("b"), ["b", "b_from", "b_to"]).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    labels = components(edges.distinct()).select("node", F.col("component").alias("label"))
+    return cut(places.groupBy("doc", "node").agg(F.min("from").alias("from"), F.max("to").alias("to")).join(labels, "node").select("doc", "from", "to", "label"), "labels")
+
+
+def poorest(t: np.ndarray, at: int, width: int) -> int:
+    """The least number of distinct shingles in `width` shingles that hold the one at `at`."""
+    order = np.argsort(t, kind="stable")
+    before = np.full(len(t), -1)
+    same = t[order[1:]] == t[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    if not same.any():
+        return width
+    starts = np.arange(max(0, at - width + 1), min(at, len(t) - width) + 1)
+    return int((before[starts[:, None] + np.arange(width)] < starts[:, None]).sum(1).min()) if len(starts) else 1
+
+
+def alike(rows: list[tuple[int, int, int, np.ndarray]], width: int, percent: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of windows (doc, label, place of c, shingles) of other documents and labels that share as many shingles as a passage needs.
+
+    Two passages of d and e distinct shingles share (d + e) * percent / (100 + percent); two less are asked for, since
+    different shingles may have the same 16 bits.
+    """
+    doc, label = (np.array([r[k] for r in rows]) for k in (0, 1))
+    sets = [np.unique(r[3]) for r in rows]
+    poor = np.array([poorest(r[3], r[2], width) for r in rows])
+    size = np.array([len(s) for s in sets])
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    start = np.r_[0, np.cumsum(size)]
+    number = np.full(len(often), -1)
+
+    def matrix(some: np.ndarray, width_: int) -> np.ndarray:
+        out = np.zeros((len(some), width_), np.float32)
+        for k, r in enumerate(some):
+            at = number[column[start[r] : start[r + 1]]]
+            out[k, at[at >= 0]] = 1
+        return out
+
+    _, group, sizes = np.unique(label, return_inverse=True, return_counts=True)
+    few = np.nonzero(group != sizes.argmax())[0]  # one end at least of each pair is outside of the largest class
+    for a, b in blocks(len(few), block):
+        used = np.unique(np.concatenate([column[start[r] : start[r + 1]] for r in few[a:b]]))
+        used = used[often[used] > 1]  # a block's columns bound the memory
+        number[used] = np.arange(len(used))
+        x = matrix(few[a:b], len(used))
+        for c, d in blocks(len(rows), block):
+            here = np.arange(c, d)
+            least = np.maximum(1, -(-(poor[few[a:b], None] + poor[None, here]) * percent // (100 + percent)) - 2)
+            fine = (x @ matrix(here, len(used)).T >= least) & (doc[few[a:b], None] != doc[None, here]) & (group[few[a:b], None] != group[None, here])
+            fine &= (group[here] == sizes.argmax())[None, :] | (few[a:b, None] < here[None, :])
+            i, j = np.nonzero(fine)
+            if len(i):
+                yield few[a:b][i], here[j]
+        number[used] = -1
+
+
+def across(docs: DataFrame, shared: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
+    """Rows like window_pairs() of all windows of a key in different passage classes that may share a passage.
+
+    The windows of a key stream into one task; only pairs that share enough shingles near c leave it. Up to 2 * width
+    shingles on either side count, which hold any passage of that length around c; a longer one is found by its parts.
+    """
+    labels = passage_classes(found)
+    at = labels.select(F.col("doc").alias("of"), "from", "to", "label")
+    rows = shared.where("not tried").select("key", "doc", "c", "ext")
+    rows = rows.join(at, (F.col("doc") == F.col("of")) & (F.col("c") >= F.col("from")) & (F.col("c") < F.col("to")), "left")
+    rows = cut(rows.select("key", "doc", "c", "ext", F.coalesce("label", F.xxhash64("doc", "c", F.lit("alone"))).alias("label")), "labelled")
+    mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    before, after = F.shiftright("ext", 36), F.shiftright("ext", 8).bitwiseAND(F.lit((1 << 28) - 1))
+    near = lambda x: F.least(x, F.lit(2 * width))
+    wanted = rows.join(mixed, "key", "left_semi").select("doc", (F.col("c") - near(before)).alias("from"), (F.col("c") + near(after)).alias("to"), "key", F.col("doc").alias("owner"), "c", "ext", "label")
+    windows = cut_out(docs, cut(wanted, "mixed"), bits=16)
+    names = ["a", "b", "a_from", "a_to", "b_from", "hashes"]
+    kinds = [np.int64, np.int64, np.int32, np.int32, np.int32, np.int32]
+
+    def pairs_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        doc, c, ext = (np.array([r[k] for r in rows]) for k in (0, 2, 3))
+        before, after, j = unpack(ext)
+        for x, y in alike([(r[0], r[1], min(int(k), 2 * width), r[4]) for r, k in zip(rows, before, strict=True)], width, percent):
+            a, b = np.where(doc[x] > doc[y], x, y), np.where(doc[x] > doc[y], y, x)
+            back, on = np.minimum(before[a], before[b]), np.minimum(after[a], after[b])
+            out = doc[a], doc[b], c[a] - back, c[a] + on, c[b] - back, 1 << j[a]
+            yield pa.RecordBatch.from_arrays([pa.array(v.astype(k)) for v, k in zip(out, kinds, strict=True)], names=names)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for key, doc, label, c, ext, raw in zip(*(batch.column(k).to_pylist() for k in ("key", "owner", "label", "c", "ext", "shingles")), strict=True):
+                if key != now:
+                    yield from pairs_of(rows) if len(rows) > 1 else ()
+                    now, rows = key, []
+                rows.append((doc, label, c, ext, np.frombuffer(raw, np.uint16)))
+        yield from pairs_of(rows) if len(rows) > 1 else ()
+
+    return windows.repartition("key").sortWithinPartitions("key").mapInArrow(f, "a long, b long, a_from int, a_to int, b_from int, hashes int")
+
+
 def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 75, hashes: int = 7, agree: int = 2) -> DataFrame:
     """doc_id, start_word, end_word, other_id, other_start, other_end (ends excluded), similarity, class_id.
 
-    A passage is linked with the first document (by id) that shares one of its signatures and with the preceding one;
-    class_id is the least doc_id of all documents that such links join.
+    A passage is linked with the first document (by id) that shares one of its signatures and with the preceding one,
+    and with all that share one and lie in other classes of passages after that; class_id is the least doc_id of all documents that such links join.
     """
     width = min_words - SHINGLE + 1
-    found = regions(window_pairs(window_rows(docs, hashes, min_words)), 2 * width, agree)
-    # Less than a window's width of a passage may stand beyond the last edit that a window reaches.
-    found = cut(found.select("a", "b", *(F.greatest(F.lit(0), F.col(c) - width).alias(c) if c.endswith("from") else (F.col(c) + width).alias(c) for c in ("a_from", "a_to", "b_from", "b_to"))), "regions")
-    out = cut(verified(docs, found, width, percent).distinct(), "passages")
+    shared = cut(shared_windows(window_rows(docs, hashes, min_words)), "shared")
+
+    def checked(pairs: DataFrame, agree: int) -> DataFrame:
+        found = regions(pairs, 2 * width, agree)
+        # Less than a window's width of a passage may stand beyond the last edit that a window reaches.
+        found = cut(found.select("a", "b", *(F.greatest(F.lit(0), F.col(c) - width).alias(c) if c.endswith("from") else (F.col(c) + width).alias(c) for c in ("a_from", "a_to", "b_from", "b_to"))), "regions")
+        return cut(verified(docs, found, width, percent).distinct(), "passages")
+
+    out = checked(window_pairs(shared), agree)
+    out = cut(out.unionByName(checked(across(docs, shared, out, width, percent), 1)).distinct(), "passages")
     classes = cut(components(out.select("a", "b").distinct()), "classes")
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.join(classes.withColumnRenamed("node", "a"), "a").select(

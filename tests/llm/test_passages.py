@@ -112,3 +112,32 @@ def test_copies_that_leave_out_a_paragraph():
                     covered[slice(y0, y1) if swap else slice(x0, x1)] = True
                 for k in range(3):
                     assert covered[k * size : (k + 1) * size - 4].all(), (size, gap, swap, k)
+
+
+def test_passages_around_a_frequent_line(spark):
+    """Passages that share their only signatures with many strangers, which stand between them in key order, are found."""
+    rng = random.Random(9)
+    line = words(rng, 40)
+    seeds = cw.mix(np.arange(1, 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    low = [int(cw.mix(cw.tokens(" ".join(line).encode()) ^ s).min()) for s in seeds]
+
+    def around(n):
+        """Text of n words on both sides of the line whose shingles all have greater hashes than the line's."""
+        while True:
+            x = words(rng, n) + line + words(rng, n)
+            t = cw.tokens(" ".join(x).encode())
+            if sum(int(cw.mix(t ^ s).min()) == v for s, v in zip(seeds, low, strict=True)) == 7:
+                return x
+
+    passages = [around(12) for _ in range(6)]
+    docs, copies = [], {}
+    for k in range(48):
+        p = k // 2 % 6 if k % 2 else None
+        docs.append(" ".join(words(rng, 30) + (around(12) if p is None else passages[p]) + words(rng, 30)))
+        if p is not None:
+            copies.setdefault(p, set()).add(k)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    groups = {}
+    for r in cw.near_passages(df).collect():
+        groups.setdefault(r.class_id, set()).update((r.doc_id, r.other_id))
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, copies.values()))
