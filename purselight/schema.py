@@ -12,7 +12,6 @@ REQUIRED = ("customer_id", "tr_datetime", "amount", "mcc_code_desc", "label")
 OPTIONAL = ("currency_name", "trx_cat_ru", "mcc_desc")
 RAW_CHURN = ("cl_id", "MCC", "currency", "TRDATETIME", "amount", "trx_category", "target_flag")
 
-TRANSACTIONS = T.StructType([T.StructField("customer_id", T.LongType()), T.StructField("tr_datetime", T.StringType()), T.StructField("amount", T.StringType()), T.StructField("mcc_code_desc", T.StringType()), T.StructField("label", T.IntegerType())])
 EXPLANATIONS = T.StructType(
     [
         T.StructField("customer_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("label_name", T.StringType()), T.StructField("sample_id", T.IntegerType()), T.StructField("explanation", T.StringType()),

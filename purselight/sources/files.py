@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from purselight.functions import dates, numbers
-from purselight.schema import TRANSACTIONS, Settings, rename_roles, require
+from purselight.schema import OPTIONAL, REQUIRED, Settings, rename_roles, require
 
 
 def load_settings(path: str) -> Settings:
@@ -38,26 +39,42 @@ def load_template(base: str, name: str) -> str:
         return f.read()
 
 
+#: How split files quote: a quote inside quotes is doubled.
+CSV = {"header": True, "escape": '"'}
+
+
 def typed(df: DataFrame) -> DataFrame:
-    """Internal columns in their types: bad time stamps are null, bad amounts 0, a missing label -1."""
+    """Internal columns in their types: bad time stamps are null, bad amounts 0, a missing or bad label -1."""
     ts = F.col("tr_datetime")
     ts = dates.parse(ts) if dict(df.dtypes)["tr_datetime"] == "string" else ts
-    return df.withColumns({"customer_id": F.col("customer_id").cast("long"), "tr_datetime": ts, "amount": numbers.number(F.col("amount")), "label": F.coalesce(F.col("label").cast("int"), F.lit(-1))})
+    whole = lambda c, kind: F.coalesce(F.col(c).try_cast(kind), F.col(c).try_cast("double").try_cast(kind))  # noqa: E731  also 1.0
+    return df.withColumns({"customer_id": whole("customer_id", "long"), "tr_datetime": ts, "amount": numbers.number(F.col("amount")), "label": F.coalesce(whole("label", "int"), F.lit(-1))})
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A CSV file, or folder of files with one header, as text columns named by that header.
+
+    With multi_line, quoted values may hold line ends, and a file is not split among tasks; without, it is.
+    """
+    reader = spark.read.options(**CSV, multiLine=multi_line)
+    names = reader.csv(path).columns
+    # Every file's header must be the first one's: a column in another place is an error, not another column's value.
+    return reader.option("enforceSchema", False).schema(T.StructType([T.StructField(c, T.StringType()) for c in names])).csv(path)
+
 
+def read_transactions(spark: SparkSession, path: str, settings: Settings | None = None, multi_line: bool = True) -> DataFrame:
+    """A split in CSV as the internal table: its columns are found by the names in the header, in any order.
 
-def read_transactions(spark: SparkSession, path: str, settings: Settings | None = None, schema: T.StructType = TRANSACTIONS) -> DataFrame:
-    """A split in CSV, with an explicit schema in the file's own names, as the internal table."""
-    settings = settings or Settings()
-    return typed(require(rename_roles(spark.read.schema(schema).csv(path, header=True), settings.columns)))
+    The optional columns come along where the file has them; others are not read.
+    """
+    rows = require(rename_roles(read_csv(spark, path, multi_line), (settings or Settings()).columns))
+    return typed(rows.select(*REQUIRED, *(c for c in OPTIONAL if c in rows.columns)))
 
 
-def read_splits(spark: SparkSession, settings: Settings, schema: T.StructType = TRANSACTIONS) -> DataFrame:
-    """All splits, with their name in column split."""
-    parts = [read_transactions(spark, path, settings, schema).withColumn("split", F.lit(name)) for name, path in settings.splits.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def read_splits(spark: SparkSession, settings: Settings, multi_line: bool = True) -> DataFrame:
+    """All splits, with their name in column split; an optional column that a split lacks is null there."""
+    parts = [read_transactions(spark, path, settings, multi_line).withColumn("split", F.lit(name)) for name, path in settings.splits.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -7,9 +7,13 @@ import os
 
 from pyspark.sql import DataFrame
 
+from purselight.sources.files import CSV
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+
+def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """CSV that read_csv() takes back, quotes and line ends included; with `order`, rows are sorted over all files."""
+    rows = df.orderBy(*order) if order else df
+    rows.write.mode("overwrite").options(**CSV).csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

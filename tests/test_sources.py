@@ -12,20 +12,34 @@ from purselight.sources import files, sinks
 from purselight.streaming import incremental
 
 
-def test_csv_round_trip(spark, tmp_path):
+def test_csv_by_name(spark, tmp_path):
     path = tmp_path / "train.csv"
     path.write_text("cid,when,amount,mcc,target\n1,2024-01-01 10:00:00,5.5,еда,1\n2,bad,x,,0\n", encoding="utf-8")
-    raw = "cid long, when string, amount string, mcc string, target int"
-    from pyspark.sql import types as T
-
-    settings = schema.Settings(columns={"customer_id": "cid", "datetime": "when", "category": "mcc", "label": "target"}, splits={"train": str(path), "val": str(path)})
-    df = files.read_splits(spark, settings, T._parse_datatype_string(raw))
+    # Another order, eight columns, one that is not known, quotes and a line end inside quotes.
+    other = tmp_path / "val.csv"
+    other.write_text('target,mcc_desc,mcc,note,currency_name,when,trx_cat_ru,amount,cid\n1.0,d,"a ""b"", c\nd",n,Рубль,2024-02-01 10:00:00,снятие,-2,7\n,,,,,,,,8\n', encoding="utf-8")
+    settings = schema.Settings(columns={"customer_id": "cid", "datetime": "when", "category": "mcc", "label": "target"}, splits={"train": str(path), "val": str(other)})
+    df = files.read_splits(spark, settings)
     rows = {(r.split, r.customer_id): r for r in df.collect()}
-    assert len(rows) == 4 and rows[("val", 2)].tr_datetime is None and rows[("val", 2)].amount == 0.0 and rows[("train", 1)].mcc_code_desc == "еда"
+    assert len(rows) == 4 and rows[("train", 2)].tr_datetime is None and rows[("train", 2)].amount == 0.0 and rows[("train", 1)].mcc_code_desc == "еда"
+    r = rows[("val", 7)]
+    assert (r.label, r.amount, r.mcc_code_desc, r.currency_name, r.trx_cat_ru, r.mcc_desc, r.tr_datetime.month) == (1, -2.0, 'a "b", c\nd', "Рубль", "снятие", "d", 2)
+    assert rows[("val", 8)].label == -1 and rows[("train", 1)].currency_name is None and "note" not in df.columns
     with pytest.raises(ValueError, match="missing columns"):
-        files.read_transactions(spark, str(path), None, T._parse_datatype_string(raw))
-    sinks.write_csv(df, str(tmp_path / "out"))
-    assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 4
+        files.read_transactions(spark, str(path))
+    sinks.write_csv(df, str(tmp_path / "out"), ["customer_id", "tr_datetime"])
+    again = files.read_csv(spark, str(tmp_path / "out"))
+    assert sorted((r.customer_id, r.mcc_code_desc) for r in again.collect()) == sorted((str(r.customer_id), r.mcc_code_desc) for r in df.collect())
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    assert [r.customer_id for p in parts for r in files.read_csv(spark, str(p)).collect()] == ["1", "2", "7", "8"]
+
+
+def test_csv_headers_must_agree(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x/a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "x/b.csv").write_text("b,a\n1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_csv(spark, str(tmp_path / "x")).collect()
 
 
 def test_json_lines(spark, tmp_path):
