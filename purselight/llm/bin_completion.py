@@ -4,16 +4,20 @@ Only the histogram of piece lengths reaches the driver: at most `capacity` count
 plan is a list of bin patterns with multiplicities. Pieces are then numbered within their length (salted, so that a
 frequent length is spread over tasks), and number and length decide sequence and offset.
 
-Defined results: null text counts as empty (one piece that holds the end id alone); repeated rows are packed each;
-an empty table gives no rows; columns other than the id and the text are not read. The result does not depend on
-partitioning.
+Defined results: null and empty text give one piece that holds the end id alone; a null id is an id; texts of any
+length are tokenised whole and cut into pieces; repeated rows are packed each, and which of them stands where in a tie
+of all columns makes no difference to the rows returned; an empty table gives no rows; columns other than the id and
+the text are not read, whatever their names. The result does not depend on partitioning.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
+import logging
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,8 @@ from pyspark.sql.window import Window
 from purselight.llm.common import blocks, cut, map_batches
 
 Pattern = tuple[int, tuple[tuple[int, int], ...]]  #: (number of bins, ((length, pieces of it in each bin), ...))
+Filling = tuple[int, tuple[tuple[int, int], ...]]  #: (waste, contents likewise)
+_LOG = logging.getLogger(__name__)
 _ENCODERS: dict[str, object] = {}
 
 
@@ -32,7 +38,8 @@ class ByteBpe:
 
     Where the file is plain byte-level BPE whose merges stand in the order of their ids, the same vocabulary and
     splitting rule run in tiktoken, which is several times faster and gives the same ids (tests compare them).
-    Texts that contain one of the file's added tokens, and other files, go to `tokenizers` itself.
+    Texts that contain one of the file's added tokens, texts that tiktoken fails on (very long runs of white space or
+    of one kind of character), and other files go to `tokenizers` itself.
     """
 
     def __init__(self, path: str):
@@ -73,7 +80,12 @@ class ByteBpe:
     def ids(self, text: str) -> list[int]:
         if self.fast is None or any(x in text for x in self.added):
             return self.slow.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+        try:
+            return self.fast.encode_ordinary(text)
+        except (KeyboardInterrupt, SystemExit, MemoryError):
+            raise
+        except BaseException:  # a panic of its regular expressions, as on a million spaces, is no Exception
+            return self.slow.encode(text, add_special_tokens=False).ids
 
 
 def encoder(path: str) -> ByteBpe:
@@ -139,91 +151,131 @@ def n_used(length: int, per: int) -> int:
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """Bins that any packing needs: the larger of the volume bound and the bound by pieces over half a bin."""
-    total = sum(k * n for k, n in counts.items())
-    best = -(-total // capacity)
-    big = sorted(k for k in counts if 2 * k > capacity)
-    for a in [0, *(k for k in sorted(counts) if 2 * k <= capacity)]:
-        # Pieces over capacity - a stand alone; pieces over half a bin take a bin each, with what they leave.
-        alone = sum(counts[k] for k in big if k > capacity - a)
-        half = sum(counts[k] for k in big if k <= capacity - a)
-        rest = sum(k * n for k, n in counts.items() if a <= k and 2 * k <= capacity)
-        space = sum((capacity - k) * counts[k] for k in big if k <= capacity - a)
-        best = max(best, alone + half + max(0, -(-(rest - space) // capacity)))
-    return best
-
+    """Bins that any packing needs: the larger of the volume bound and the bound by pieces over half a bin.
 
-def fillings(counts: dict[int, int], lengths: Sequence[int], space: int, steps: int, keep: int = 4) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """Undominated fillings of `space` as (waste, contents), least waste first.
-
-    Depth first from the longest piece that fits. A filling is dropped if a further piece would fit, or if one of
-    its pieces could give way to a longer one: whatever packing uses it, one that uses the other is as good.
+    Pieces over half a bin take a bin each; for each least length a, the pieces from a to half a bin go into what those
+    leave that have room for a, and into further bins.
+    """
+    lengths = np.array(sorted(counts), np.int64)
+    n = np.array([counts[k] for k in lengths.tolist()], np.int64)
+    big = 2 * lengths > capacity
+    volume = np.cumsum((lengths * n)[~big][::-1])[::-1]
+    space = np.r_[0, np.cumsum(((capacity - lengths) * n)[big])]
+    left = space[np.searchsorted(lengths[big], capacity - lengths[~big], "right")]
+    more = int((-(-(volume - left) // capacity)).max(initial=0))
+    return max(-(-int((lengths * n).sum()) // capacity), int(n[big].sum()) + more)
+
+
+def fillings(counts: dict[int, int], lengths: Sequence[int], space: int, steps: int) -> tuple[list[Filling], int]:
+    """The undominated fillings of `space` that `steps` steps reach, least waste first, and the steps that took.
+
+    lengths: those of counts, longest first. Depth first from the longest piece that fits, so that the first filling is
+    that of best fit; fewer steps than were allowed mean that all were found. A filling is dropped if a further piece
+    would fit, or if one of its pieces could give way to a longer one: whatever packing uses it, one that uses the other
+    is as good.
     """
-    found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
-    budget = [steps]
+    found: list[Filling] = []
+    rising = lengths[::-1]
+    taken = 0
 
-    def go(i: int, free: int, chosen: tuple[tuple[int, int], ...]) -> bool:
-        """True once a filling without waste is known or the steps are spent."""
-        budget[0] -= 1
+    def free_piece(low: int, high: int, used: dict[int, int]) -> bool:
+        """Whether a piece of more than low and at most high is left."""
+        return any(counts[k] > used.get(k, 0) for k in rising[bisect.bisect_right(rising, low) : bisect.bisect_right(rising, high)])
+
+    def go(i: int, free: int, chosen: tuple[tuple[int, int], ...]) -> None:
+        nonlocal taken
+        taken += 1
         used = dict(chosen)
-        while i < len(lengths) and lengths[i] > free:
-            i += 1
-        if free == 0 or i == len(lengths):
-            for k in used:
-                if any(k < x <= k + free and counts[x] > used.get(x, 0) for x in lengths):
-                    return budget[0] <= 0
-            if not any(x <= free and counts[x] > used.get(x, 0) for x in lengths):
+        if not free_piece(0, free, used):
+            if not free or not any(free_piece(k, k + free, used) for k in used):
                 found.append((free, chosen))
-            return free == 0 or budget[0] <= 0
-        k = lengths[i]
-        for per in range(min(counts[k], free // k), -1, -1):
-            if go(i + 1, free - per * k, (*chosen, (k, per)) if per else chosen):
-                return True
-        return False
+            return
+        for j in range(max(i, len(rising) - bisect.bisect_right(rising, free)), len(lengths)):
+            k = lengths[j]
+            for per in range(min(counts[k], free // k), 0, -1):
+                if taken >= steps:
+                    return
+                go(j + 1, free - per * k, (*chosen, (k, per)))
 
     go(0, space, ())
-    return sorted(set(found), key=lambda x: (x[0], [-k for k, _ in x[1]]))[:keep]
+    return sorted(found, key=lambda x: (x[0], [-k for k, per in x[1] for _ in range(per)])), taken
+
+
+@dataclass(frozen=True)
+class Node:
+    """A partial packing: the pieces left, bins used, their waste, and the pattern last placed on top of a parent."""
+
+    counts: dict[int, int]
+    used: int = 0
+    waste: int = 0
+    parent: Node | None = None
+    pattern: Pattern | None = None
+
+    def patterns(self) -> list[Pattern]:
+        out, at = [], self
+        while at.parent is not None:
+            out.append(at.pattern)
+            at = at.parent
+        return out[::-1]
 
 
-def plan(counts: dict[int, int], capacity: int, steps: int = 400, nodes: int = 3000) -> list[Pattern]:
+def plan(counts: dict[int, int], capacity: int, steps: int = 2000, effort: int = 1_000_000) -> list[Pattern]:
     """Bin patterns for a histogram of lengths.
 
-    The incumbent is best-fit decreasing. If it needs more bins than the lower bound, a depth-first search places
-    the largest remaining piece with an undominated filling, as often as the counts allow at once, and gives up a
-    branch when its waste exceeds what a packing with one bin less than the incumbent could waste. `steps` and
-    `nodes` bound the search effort, not the input: the incumbent always holds every piece.
+    The incumbent is best-fit decreasing. If it needs more bins than the lower bound, a depth-first search fills the bin
+    of the largest remaining piece: with each undominated filling, least waste first, as often as the counts allow, then
+    half as often, down to once. It gives up a branch when its waste exceeds what a packing with one bin less than the
+    incumbent could waste, when the bound of the pieces left shows that it cannot use less bins, or when the same
+    pieces were left before by as few bins. `steps` bounds the enumeration of one bin's fillings and `effort` that of
+    all; where one of them ends the search before the bound is reached, that is logged. They bound the search, not the
+    input: the incumbent always holds every piece.
     """
     counts = {k: n for k, n in counts.items() if n}
     if any(not 0 < k <= capacity for k in counts):
         raise ValueError("a length lies outside 1..capacity")
     best = best_fit(counts, capacity)
     bins, least, total = sum(n for n, _ in best), lower_bound(counts, capacity), sum(k * n for k, n in counts.items())
-    left = [nodes]
-
-    def search(counts: dict[int, int], done: list[Pattern], used: int, waste: int) -> None:
-        nonlocal best, bins
-        stack = [(counts, done, used, waste)]
-        while stack and left[0] > 0 and bins > least:
-            counts, done, used, waste = stack.pop()
-            if not counts:
-                if used < bins:
-                    best, bins = done, used
-                continue
-            left[0] -= 1
-            if waste > (bins - 1) * capacity - total or used + -(-sum(k * n for k, n in counts.items()) // capacity) >= bins:
-                continue
-            top = max(counts)
-            rest = counts | {top: counts[top] - 1}
-            lengths = sorted((k for k, n in rest.items() if n and k <= capacity - top), reverse=True)
-            for slack, items in reversed(fillings(rest, lengths, capacity - top, steps)):
-                content = dict(items)
-                content[top] = content.get(top, 0) + 1
-                times = min(counts[k] // per for k, per in content.items())
-                after = {k: n - times * content.get(k, 0) for k, n in counts.items()}
-                stack.append(({k: n for k, n in after.items() if n}, [*done, (times, tuple(sorted(content.items(), reverse=True)))], used + times, waste + times * slack))
-
-    if bins > least:
-        search(counts, [], 0, 0)
+    spent, complete = 0, True
+    seen: dict[frozenset, int] = {}
+
+    def hopeless(node: Node) -> bool:
+        return node.waste > (bins - 1) * capacity - total or node.used + lower_bound(node.counts, capacity) >= bins
+
+    def children(node: Node) -> Iterator[Node]:
+        nonlocal spent, complete
+        top = max(node.counts)
+        rest = node.counts | {top: node.counts[top] - 1}
+        lengths = sorted((k for k, n in rest.items() if n and k <= capacity - top), reverse=True)
+        found, taken = fillings(rest, lengths, capacity - top, steps)
+        spent, complete = spent + taken, complete and taken < steps
+        for slack, items in found:
+            if node.waste + slack > (bins - 1) * capacity - total:
+                return  # as all that follow waste as much or more
+            content = dict(items)
+            content[top] = content.get(top, 0) + 1
+            times = min(node.counts[k] // per for k, per in content.items())
+            pattern = tuple(sorted(content.items(), reverse=True))
+            while times:
+                after = {k: n for k, n in ((k, n - times * content.get(k, 0)) for k, n in node.counts.items()) if n}
+                spent += 1 + len(after) // 16  # what a child costs, in steps
+                yield Node(after, node.used + times, node.waste + times * slack, node, (times, pattern))
+                times //= 2
+
+    stack = [children(Node(counts))] if counts else []
+    while stack and bins > least and spent < effort:
+        node = next(stack[-1], None)
+        if node is None:
+            stack.pop()
+        elif not node.counts:
+            if node.used < bins:
+                best, bins = node.patterns(), node.used
+        elif not hopeless(node):
+            key = frozenset(node.counts.items())
+            if node.used < seen.get(key, bins):
+                seen[key] = node.used
+                stack.append(children(node))
+    if bins > least and not (complete and not stack):
+        _LOG.warning("packing search ended by its effort: %d sequences, lower bound %d", bins, least)
     return best
 
 

@@ -108,3 +108,62 @@ def test_pack(spark):
 def test_pack_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bc.pack(df, PATH).collect() == []
+
+
+def test_fillings_against_all_multisets():
+    rng = random.Random(5)
+    for _ in range(40):
+        counts = {k: rng.randint(1, 2) for k in rng.sample(range(3, 20), 6)}
+        lengths, space = sorted(counts, reverse=True), rng.randint(10, 30)
+        found, taken = bc.fillings(counts, lengths, space, 10**6)
+        assert taken < 10**6 and found == sorted(found, key=lambda x: x[0])
+        ways = [()]
+        for k in lengths:
+            ways = [(*w, (k, n)) if n else w for w in ways for n in range(counts[k] + 1)]
+        want = set()
+        for w in ways:
+            free, used = space - sum(k * n for k, n in w), dict(w)
+            left = [k for k in counts if counts[k] > used.get(k, 0)]
+            if free >= 0 and not any(x <= free or any(k < x <= k + free for k in used) for x in left):
+                want.add((free, w))
+        assert set(found) == want and len(found) == len(want)
+
+
+def triples(n, capacity, seed):
+    """Lengths of n full bins of three pieces."""
+    rng, out = random.Random(seed), {}
+    while n:
+        a, b = (rng.randint(capacity // 4 + 1, capacity // 2 - 1) for _ in range(2))
+        if capacity // 4 < capacity - a - b < capacity // 2:
+            n -= 1
+            for k in (a, b, capacity - a - b):
+                out[k] = out.get(k, 0) + 1
+    return out
+
+
+def test_known_optimum(caplog):
+    for seed in range(4):
+        for capacity in (1000, 2048):
+            counts = triples(20, capacity, seed)
+            assert sum(n for n, _ in bc.best_fit(counts, capacity)) > 20 == sum(n for n, _ in bc.plan(counts, capacity))
+    assert not caplog.records
+    counts = triples(100, 1000, 1)
+    got = sum(n for n, _ in bc.plan(counts, 1000, effort=100_000))
+    assert got == 100 or got <= 103 and "ended by its effort" in caplog.text
+
+
+def test_long_runs_of_one_character():
+    fast, slow = bc.ByteBpe(PATH), Tokenizer.from_file(PATH)
+    for text in (" " * 10**6, "\n" * 10**6, "a" * 300_000, "é" * 200_000, "x \t" * 300_000):
+        assert fast.ids(text) == slow.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_texts(spark):
+    texts = [" " * 10**6, "\n" * 10**6, "word " * 10**6, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = bc.pack(df, PATH).collect()
+    slow = Tokenizer.from_file(PATH)
+    for i, t in enumerate(texts):
+        ids = np.array([*slow.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        rows = sorted((r.start, r.length, r.ids_crc32) for r in got if r.doc_id == i)
+        assert rows == [(s, n, zlib.crc32(ids[s : s + n].tobytes())) for s, n in bc.cut_points(len(ids), 2048)]
