@@ -26,7 +26,7 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,12 @@ from purselight.llm.url_bloom import maybe
 
 SHINGLE = 5
 NULL_ID = -(2**63)
-REACH = 1 << 14
+REACH = (1 << 20) - 1  #: tokens of a window on either side of c that a row tells apart
+SKETCH = 10  #: bits of the sketch of what stands on one side of c
+COLUMNS, KINDS = ["key", "doc", "c", "ext", "body"], [np.int64, np.int64, np.int32, np.int64, np.int32]
+WINDOWS = "key long, doc long, c int, ext long, body int"
 _TIE = np.uint64((1 << 16) - 1)
+_NONE = np.uint64(2**64 - 1)
 
 
 def tokens(text: bytes) -> np.ndarray:
@@ -47,51 +51,130 @@ def tokens(text: bytes) -> np.ndarray:
     return grams(word_hashes(text.lower().split()), SHINGLE)
 
 
-def compact_windows(values: np.ndarray, width: int) -> np.ndarray:
-    """Rows (l, c, r), ends included, of the nodes of the Cartesian tree that span `width` tokens or more."""
-    out, stack = [], [(0, len(values) - 1)]
-    while stack:
-        left, right = stack.pop()
-        if right - left + 1 >= width:
-            c = left + int(values[left : right + 1].argmin())
-            out.append((left, c, right))
-            stack += ((left, c - 1), (c + 1, right))
-    return np.array(out, np.int64).reshape(-1, 3)
+def token_block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of all texts, one after the other; where each text's begin, and the end)."""
+    words = [t.lower().split() for t in texts]
+    size = np.array([len(w) for w in words], np.int64)
+    g = grams(word_hashes([x for w in words for x in w]), SHINGLE)
+    tail = np.repeat(np.cumsum(size), size) - np.arange(size.sum())  # words from here to the text's end
+    return g[tail[: len(g)] >= SHINGLE], np.r_[0, np.cumsum(np.maximum(size - SHINGLE + 1, 0))]
+
+
+def sliding(v: np.ndarray, width: int, of=np.minimum) -> np.ndarray:
+    """of (minimum or maximum) over each run of `width` values."""
+    if len(v) < width:
+        return v[:0]
+    span = 1
+    while 2 * span <= width:
+        v = of(v[:-span], v[span:])
+        span *= 2
+    return of(v[: len(v) - (width - span)], v[width - span :])
+
+
+def bounds(value: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value the index of the last one before it in its text that is not larger, and of the first after it that is smaller (-1: none).
+
+    Pointers jump over larger values, all at once.
+    """
+    n = np.arange(len(value))
+    same = text[1:] == text[:-1]
+    out = []
+    for pointer, passed in ((np.r_[-1, np.where(same, n[:-1], -1)], np.greater), (np.r_[np.where(same, n[1:], -1), -1], np.greater_equal)):
+        at = n
+        while True:
+            at = at[pointer[at] >= 0]
+            at = at[passed(value[pointer[at]], value[at])]
+            if not len(at):
+                break
+            pointer[at] = pointer[pointer[at]]
+        out.append(pointer)
+    return out[0], out[1]
+
+
+def compact_windows(values: np.ndarray, width: int, start: np.ndarray | None = None) -> np.ndarray:
+    """Rows (l, c, r), ends included, of the nodes of the Cartesian trees that span `width` values or more.
+
+    start: where each text's values begin, and the end; one text by default. Of equal values the first is the least.
+    A node that wide is the least of some run of `width` values, and so are the nodes above it, which bound its span.
+    """
+    start = np.array([0, len(values)]) if start is None else start
+    if len(values) < width:
+        return np.empty((0, 3), np.int64)
+    values = values.astype(np.uint64)
+    text = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    least = np.where(text[: len(values) - width + 1] == text[width - 1 :], sliding(values, width), 0)
+    pad = np.zeros(width - 1, np.uint64)
+    c = np.nonzero(sliding(np.r_[pad, least, pad], width, np.maximum) == values)[0]
+    before, after = bounds(values[c], text[c])
+    left = np.where(before >= 0, c[before] + 1, start[text[c]])
+    right = np.where(after >= 0, c[after] - 1, start[text[c] + 1] - 1)
+    return np.stack([left, c, right], 1)[right - left + 1 >= width]
+
+
+def side_sketches(t: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each token a min-hash of SKETCH bits of the tokens width // 4 to width // 2 places before it, and after it.
+
+    0 where its text does not reach that far. A passage of `width` tokens that holds a token reaches width // 2 tokens
+    or more from it on one side at least.
+    """
+    far = width // 2
+    near = max(1, far // 2)
+    least = sliding(mix(t ^ _NONE), far - near + 1)
+    sketch = 1 + (mix(least) % np.uint64((1 << SKETCH) - 1)).astype(np.int64)
+    n, text = np.arange(len(t)), np.repeat(np.arange(len(start) - 1), np.diff(start))
+    before = np.where(n - far >= start[text], sketch[np.clip(n - far, 0, max(len(sketch) - 1, 0))], 0) if len(sketch) else np.zeros(len(t), np.int64)
+    after = np.where(n + far < start[text + 1], sketch[np.clip(n + near, 0, max(len(sketch) - 1, 0))], 0) if len(sketch) else np.zeros(len(t), np.int64)
+    return before, after
+
+
+def run_hashes(t: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of starts and ends (included) that hashes those runs of t, to 32 bits, from sums of prefixes."""
+    base = np.uint64(0x9E3779B97F4A7C15 | 1)
+    power = np.cumprod(np.full(len(t) + 1, base))
+    back = np.cumprod(np.full(len(t) + 1, np.uint64(pow(int(base), -1, 1 << 64))))
+    total = np.r_[np.uint64(0), np.cumsum(mix(t) * power[: len(t)])]
+    return lambda a, b: (mix((total[b + 1] - total[a]) * back[a] + (b - a).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def window_rows(docs: DataFrame, hashes: int, min_words: int) -> DataFrame:
-    """key, doc, c, ext: tokens of the window before and after c (up to REACH each) and number of the hash function, see unpack().
+    """key, doc, c, ext (see unpack()), body: hash of the window's tokens up to 2 * width from c.
 
-    Windows that reach further lose nothing: what they stand for beyond belongs to other windows too, which join them.
+    Windows that reach further than REACH lose nothing: what they stand for beyond belongs to other windows too, which
+    join them.
     """
+    if hashes > 16:
+        raise ValueError("at most 16 hash functions")
     width = min_words - SHINGLE + 1
-    reach = max(REACH, width)
     seeds = mix(np.arange(1, hashes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    names = ["key", "doc", "c", "ext"]
-
     def f(batch: pa.RecordBatch):
         for a, b in blocks(batch.num_rows, 500):
-            part, out = batch.slice(a, b - a), []
-            for doc, text in zip(part.column("doc").to_pylist(), binaries(part, "text"), strict=True):
-                t = tokens(text)
-                if len(t) < width:
-                    continue
-                tie = mix(np.arange(len(t), dtype=np.uint64)) & _TIE
-                for j, seed in enumerate(seeds):
-                    v = mix(t ^ seed)
-                    w = compact_windows(v & ~_TIE | tie, width)
-                    before, after = (np.minimum(x, reach) for x in (w[:, 1] - w[:, 0], w[:, 2] - w[:, 1]))
-                    out.append((signed(v[w[:, 1]]), np.full(len(w), doc), w[:, 1], before << 36 | after << 8 | j))
-            if out:
-                kinds = [np.int64, np.int64, np.int32, np.int64]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    return map_batches(keyed(docs), f, "key long, doc long, c int, ext long")
+            part = batch.slice(a, b - a)
+            t, start = token_block(binaries(part, "text"))
+            if not len(t):
+                continue
+            doc, size = part.column("doc").to_numpy(), np.diff(start)
+            place = np.arange(len(t)) - np.repeat(start[:-1], size)
+            text = np.repeat(np.arange(len(size)), size)
+            tie = mix(place.astype(np.uint64)) & _TIE
+            sides = side_sketches(t, start, width)
+            sides, body = sides[0] << SKETCH | sides[1], run_hashes(t)
+            for j, seed in enumerate(seeds):
+                v = mix(t ^ seed)
+                left, c, right = compact_windows(v & ~_TIE | tie, width, start).T
+                before, after = np.minimum(c - left, REACH), np.minimum(right - c, REACH)
+                ext = before << 44 | after << 24 | sides[c] << 4 | j
+                near = body(np.maximum(left, c - 2 * width), np.minimum(right, c + 2 * width))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(v[c])), pa.array(doc[text[c]]), pa.array(place[c].astype(np.int32)), pa.array(ext), pa.array(near)], names=COLUMNS)
+
+    return map_batches(keyed(docs), f, WINDOWS)
 
 
 def unpack(ext: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(before, after, hash function) of column ext."""
-    return ext >> 36, ext >> 8 & (1 << 28) - 1, ext & 255
+    """(before, after, hash function) of column ext: tokens of the window before and after c, up to REACH each.
+
+    Between after and the function stand the sketches of both sides.
+    """
+    return ext >> 44 & REACH, ext >> 24 & REACH, ext & 15
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -110,8 +193,6 @@ def partners(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def shared_windows(windows: DataFrame) -> DataFrame:
     """The windows of keys that two or more documents hold; tried: window_pairs() makes all pairs of the key."""
-    columns = ["key", "doc", "c", "ext"]
-    kinds = [np.int64, np.int64, np.int32, np.int64]
 
     def rows(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, doc = x[:2]
@@ -122,19 +203,19 @@ def shared_windows(windows: DataFrame) -> DataFrame:
         documents = np.add.reduceat(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])].astype(np.int64), start)
         keep, tried = np.repeat(documents > 1, size), np.repeat((size <= 3) & (documents == size), size)
         if keep.any():
-            out = [pa.array(v[keep].astype(k)) for v, k in zip(x, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(tried[keep])], names=[*columns, "tried"])
+            out = [pa.array(v[keep].astype(k)) for v, k in zip(x, KINDS, strict=True)]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(tried[keep])], names=[*COLUMNS, "tried"])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * len(columns)  # the rows of the last key
+        held = [np.empty(0, np.int64)] * len(COLUMNS)  # the rows of the last key
         for batch in batches:
-            x = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, columns, strict=True)]
+            x = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, COLUMNS, strict=True)]
             at = int(np.searchsorted(x[0], x[0][-1], "left")) if len(x[0]) else 0
             yield from rows([v[:at] for v in x])
             held = [v[at:] for v in x]
         yield from rows(held)
 
-    return windows.repartition("key").sortWithinPartitions("key", "doc", "c").mapInArrow(f, "key long, doc long, c int, ext long, tried boolean")
+    return windows.repartition("key").sortWithinPartitions("key", "doc", "c").mapInArrow(f, f"{WINDOWS}, tried boolean")
 
 
 def window_pairs(windows: DataFrame) -> DataFrame:
@@ -166,7 +247,7 @@ def window_pairs(windows: DataFrame) -> DataFrame:
             keep = sorted({int(first[-1]), len(key) - 1, *([int(previous[-1])] if previous[-1] >= 0 else [])})
             held = [v[keep] for v in x]
 
-    rows = windows.repartition("key").sortWithinPartitions("key", "doc", "c")
+    rows = windows.select(columns).repartition("key").sortWithinPartitions("key", "doc", "c")
     return rows.mapInArrow(f, "a long, b long, a_from int, a_to int, b_from int, hashes int")
 
 
@@ -343,18 +424,22 @@ def verified(docs: DataFrame, found: DataFrame, width: int, percent: int) -> Dat
     return rows.mapInArrow(f, "a long, b long, a_from long, a_to long, b_from long, b_to long, similarity double")
 
 
-def passage_classes(found: DataFrame) -> DataFrame:
-    """doc, from, to (tokens, `to` excluded), label: the places of verified passages, overlapping ones as one, and what links join."""
+def segments(found: DataFrame) -> DataFrame:
+    """doc, from, to (tokens, `to` excluded), label: documents with verified passages, cut into these and what lies between.
+
+    Overlapping passages are one segment, whose label is the class of the document; the segments between have none.
+    """
     side = lambda d: found.select(F.col(d).alias("doc"), F.col(f"{d}_from").alias("from"), (F.col(f"{d}_to") - SHINGLE + 1).alias("to"))
     order = Window.partitionBy("doc").orderBy("from", "to")
     places = side("a").unionByName(side("b")).distinct()
     places = places.withColumn("new", F.coalesce((F.col("from") >= F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1)))
-    places = places.withColumn("n", F.sum("new").over(order)).withColumn("node", F.xxhash64("doc", "n"))
-    places = cut(places.select("doc", "from", "to", "node"), "places")
-    end = lambda d: places.select(F.col("doc").alias(d), F.col("from").alias(f"{d}_from"), (F.col("to") + SHINGLE - 1).alias(f"{d}_to"), F.col("node").alias(f"{d}_node"))
-    edges = found.join(end("a"), ["a", "a_from", "a_to"]).join(end("b"), ["b", "b_from", "b_to"]).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    labels = components(edges.distinct()).select("node", F.col("component").alias("label"))
-    return cut(places.groupBy("doc", "node").agg(F.min("from").alias("from"), F.max("to").alias("to")).join(labels, "node").select("doc", "from", "to", "label"), "labels")
+    places = places.withColumn("n", F.sum("new").over(order)).groupBy("doc", "n").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    classes = components(found.select("a", "b").distinct()).select(F.col("node").alias("doc"), F.col("component").alias("label"))
+    places = cut(places.join(classes, "doc"), "places")
+    beside = Window.partitionBy("doc").orderBy("n")
+    before = places.select("doc", F.coalesce(F.lag("to").over(beside), F.lit(0)).alias("from"), F.col("from").alias("to"))
+    last = places.groupBy("doc").agg(F.max("to").alias("from")).withColumn("to", F.lit(1 << 40))
+    return places.drop("n").unionByName(before.unionByName(last).withColumn("label", F.lit(None).cast("long")))
 
 
 def poorest(t: np.ndarray, at: int, width: int) -> int:
@@ -369,16 +454,55 @@ def poorest(t: np.ndarray, at: int, width: int) -> int:
     return int((before[starts[:, None] + np.arange(width)] < starts[:, None]).sum(1).min()) if len(starts) else 1
 
 
-def alike(rows: list[tuple[int, int, int, np.ndarray]], width: int, percent: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of windows (doc, label, place of c, shingles) of other documents and labels that share as many shingles as a passage needs.
+def may_hold(hit: np.ndarray, size: np.ndarray, at: np.ndarray, width: int, percent: int) -> np.ndarray:
+    """Whether a passage of `width` places or more around place `at` may be hit often enough; hit: a row for each window of `size` places.
+
+    A passage has percent / 100 hits among its places, and as many as two passages of `width` must share. The test looks
+    at the widest stretch around `at` both ends of which could belong to one, so it lets all passages through.
+    """
+    step = np.arange(2 * width + 1)
+
+    def going(from_: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
+        place = from_[:, None] + sign * step
+        inside = (place >= 0) & (place < size[:, None])
+        seen = np.take_along_axis(hit, np.clip(place, 0, hit.shape[1] - 1), 1) & inside
+        return np.cumsum(np.where(seen, 100 - percent, np.where(inside, -percent, -(10**6))), 1), np.cumsum(seen, 1)
+
+    (after, hits_after), (before, hits_before) = going(at, 1), going(at - 1, -1)
+    before, hits_before = (np.hstack([np.zeros((len(at), 1), np.int64), x]) for x in (before, hits_before))
+    ends = [len(step) - 1 + k - (x[:, ::-1] >= -y.max(1)[:, None]).argmax(1) for x, y, k in ((after, before, 0), (before, after, 1))]
+    wide = (after.max(1) + before.max(1) >= 0) & (ends[0] + 1 + ends[1] >= width)
+    row = np.arange(len(at))
+    return wide & (hits_after[row, ends[0]] + hits_before[row, ends[1]] >= -(-2 * width * percent // (100 + percent)))
+
+
+def alike(label: np.ndarray, at: np.ndarray, shingles: list[np.ndarray], width: int, percent: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of windows (label, place of c, shingles) of other labels that share as many shingles as a passage needs.
 
     Two passages of d and e distinct shingles share (d + e) * percent / (100 + percent); two less are asked for, since
-    different shingles may have the same 16 bits.
+    different shingles may have the same 16 bits. Where no shingle of a window is repeated, they also must stand around
+    c as densely as may_hold() asks for.
     """
-    doc, label = (np.array([r[k] for r in rows]) for k in (0, 1))
-    sets = [np.unique(r[3]) for r in rows]
-    poor = np.array([poorest(r[3], r[2], width) for r in rows])
+    sets = [np.unique(x) for x in shingles]
     size = np.array([len(s) for s in sets])
+    length = np.array([len(x) for x in shingles])
+    padded = np.zeros((len(shingles), length.max()), np.int64)
+    padded[np.arange(length.max()) < length[:, None]] = np.concatenate(shingles)
+    held = np.zeros(1 << 16, bool)
+
+    def dense(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether windows i may hold a passage whose shingles are those of windows j."""
+        out = size[i] < length[i]
+        order = np.argsort(j, kind="stable")
+        for part in np.split(order, np.nonzero(np.diff(j[order]))[0] + 1):
+            other = sets[j[part[0]]]
+            held[other] = True
+            k = i[part]
+            out[part] |= may_hold(held[padded[k]], length[k], at[k], width, percent)
+            held[other] = False
+        return out
+
+    poor = np.array([width if len(s) == len(x) >= width else poorest(x, int(k), width) for s, x, k in zip(sets, shingles, at, strict=True)])
     _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     start = np.r_[0, np.cumsum(size)]
     number = np.full(len(often), -1)
@@ -397,56 +521,92 @@ def alike(rows: list[tuple[int, int, int, np.ndarray]], width: int, percent: int
         used = used[often[used] > 1]  # a block's columns bound the memory
         number[used] = np.arange(len(used))
         x = matrix(few[a:b], len(used))
-        for c, d in blocks(len(rows), block):
+        for c, d in blocks(len(label), block):
             here = np.arange(c, d)
             least = np.maximum(1, -(-(poor[few[a:b], None] + poor[None, here]) * percent // (100 + percent)) - 2)
-            fine = (x @ matrix(here, len(used)).T >= least) & (doc[few[a:b], None] != doc[None, here]) & (group[few[a:b], None] != group[None, here])
+            fine = (x @ matrix(here, len(used)).T >= least) & (group[few[a:b], None] != group[None, here])
             fine &= (group[here] == sizes.argmax())[None, :] | (few[a:b, None] < here[None, :])
             i, j = np.nonzero(fine)
+            i, j = few[a:b][i], here[j]
+            for u, v in ((0, 1), (1, 0)):
+                if len(i):
+                    may = dense(*((i, j)[k] for k in (u, v)))
+                    i, j = i[may], j[may]
             if len(i):
-                yield few[a:b][i], here[j]
+                yield i, j
         number[used] = -1
 
 
+def representatives(shared: DataFrame, parts: DataFrame, width: int) -> DataFrame:
+    """side, label, body, and the first and last (doc, c, ext) of the windows that are alike in all three.
+
+    A window whose token stands in a verified passage has the class of its document as label: it need not meet others
+    of that class. All others have labels of their own and end where a verified passage begins (width // 6 tokens on, as
+    passages may overlap a little); those that are then too short for a passage go. side names a key together with the
+    sketch of one side of its token; only sides stay that several documents hold under several labels. (A frequent line
+    shorter than half a passage leaves the sketches to what surrounds it.)
+    """
+    rows = shared.where("not tried").drop("tried").join(parts.withColumnRenamed("doc", "of"), (F.col("doc") == F.col("of")) & (F.col("c") >= F.col("from")) & (F.col("c") < F.col("to")), "left")
+    before, after = (F.shiftright("ext", k).bitwiseAND(F.lit(REACH)) for k in (44, 24))
+    before = F.least(before, F.col("c") - F.coalesce("from", F.lit(0)) + width // 6)
+    after = F.least(after, F.coalesce("to", F.lit(1 << 40)) - 1 - F.col("c") + width // 6)
+    clipped = F.call_function("shiftleft", before, F.lit(44)).bitwiseOR(F.call_function("shiftleft", after, F.lit(24))).bitwiseOR(F.col("ext").bitwiseAND(F.lit((1 << 24) - 1)))
+    free = F.col("label").isNull()
+    rows = rows.where(~free | (before + after + 1 >= width)).withColumn("ext", F.when(free, clipped).otherwise(F.col("ext")))
+    rows = rows.select(*COLUMNS, F.coalesce("label", F.xxhash64("doc", "c", F.lit("alone"))).alias("label"))
+    sketch = lambda k: F.shiftright("ext", 4 + k * SKETCH).bitwiseAND(F.lit((1 << SKETCH) - 1))
+    sides = F.array(*(F.struct(F.lit(k).alias("k"), sketch(k).alias("sketch")) for k in (0, 1)))
+    rows = cut(rows.withColumn("x", F.explode(sides)).where("x.sketch > 0").select(F.xxhash64("key", "x").alias("side"), "label", "body", "doc", "c", "ext"), "sides")
+    mixed = rows.groupBy("side").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.min("doc").alias("d"), F.max("doc").alias("e")).where("p <> q and d <> e").select("side")
+    place = F.struct("doc", "c", "ext")
+    return rows.join(mixed, "side", "left_semi").groupBy("side", "label", "body").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+
+
 def across(docs: DataFrame, shared: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
-    """Rows like window_pairs() of all windows of a key in different passage classes that may share a passage.
+    """Rows like window_pairs() of all windows of a key with different labels that may share a passage.
 
-    The windows of a key stream into one task; only pairs that share enough shingles near c leave it. Up to 2 * width
-    shingles on either side count, which hold any passage of that length around c; a longer one is found by its parts.
+    Windows of one class with the same tokens are compared as one. Those of a key and side stream into one task; only
+    pairs that share enough shingles near c leave it. Up to 2 * width shingles on either side count, which hold any
+    passage of that length around c; a longer one is found by its parts.
     """
-    labels = passage_classes(found)
-    at = labels.select(F.col("doc").alias("of"), "from", "to", "label")
-    rows = shared.where("not tried").select("key", "doc", "c", "ext")
-    rows = rows.join(at, (F.col("doc") == F.col("of")) & (F.col("c") >= F.col("from")) & (F.col("c") < F.col("to")), "left")
-    rows = cut(rows.select("key", "doc", "c", "ext", F.coalesce("label", F.xxhash64("doc", "c", F.lit("alone"))).alias("label")), "labelled")
-    mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    before, after = F.shiftright("ext", 36), F.shiftright("ext", 8).bitwiseAND(F.lit((1 << 28) - 1))
-    near = lambda x: F.least(x, F.lit(2 * width))
-    wanted = rows.join(mixed, "key", "left_semi").select("doc", (F.col("c") - near(before)).alias("from"), (F.col("c") + near(after)).alias("to"), "key", F.col("doc").alias("owner"), "c", "ext", "label")
-    windows = cut_out(docs, cut(wanted, "mixed"), bits=16)
+    reps = cut(representatives(shared, segments(found), width), "representatives")
+    c = F.col("first.c")
+    before, after = (F.least(F.shiftright("first.ext", k).bitwiseAND(F.lit(REACH)), F.lit(2 * width)).cast("int") for k in (44, 24))
+    wanted = reps.select(F.col("first.doc").alias("doc"), (c - before).alias("from"), (c + after).alias("to"), before.alias("at"), "side", "label", *(F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in ("first", "last") for y in ("doc", "c", "ext")))
+    windows = cut_out(docs, wanted, bits=16)
+    numbers = ["label", "at", "first_doc", "first_c", "first_ext", "last_doc", "last_c", "last_ext"]
     names = ["a", "b", "a_from", "a_to", "b_from", "hashes"]
     kinds = [np.int64, np.int64, np.int32, np.int32, np.int32, np.int32]
 
     def pairs_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        doc, c, ext = (np.array([r[k] for r in rows]) for k in (0, 2, 3))
-        before, after, j = unpack(ext)
-        for x, y in alike([(r[0], r[1], min(int(k), 2 * width), r[4]) for r, k in zip(rows, before, strict=True)], width, percent):
-            a, b = np.where(doc[x] > doc[y], x, y), np.where(doc[x] > doc[y], y, x)
-            back, on = np.minimum(before[a], before[b]), np.minimum(after[a], after[b])
-            out = doc[a], doc[b], c[a] - back, c[a] + on, c[b] - back, 1 << j[a]
-            yield pa.RecordBatch.from_arrays([pa.array(v.astype(k)) for v, k in zip(out, kinds, strict=True)], names=names)
+        label, at, *places = (np.array(v, np.int64) for v in zip(*(r[:-1] for r in rows), strict=True))
+        first, last = places[:3], places[3:]
+        for x, y in alike(label, at, [np.frombuffer(r[-1], np.uint16) for r in rows], width, percent):
+            # Two windows of one document stand for those of others that are like one of them.
+            same = first[0][x] == first[0][y]
+            p = [np.where(same, m[x], n[x]) for m, n in zip(last, first, strict=True)]
+            also = p[0] == first[0][y]
+            q = [np.where(also, m[y], n[y]) for m, n in zip(last, first, strict=True)]
+            fine = p[0] != q[0]
+            swap = p[0] < q[0]
+            (a, ca, ea), (b, cb, eb) = ([np.where(swap, m, n)[fine] for m, n in zip(u, v, strict=True)] for u, v in ((q, p), (p, q)))
+            if len(a):
+                (back_a, on_a, j), (back_b, on_b, _) = unpack(ea), unpack(eb)
+                back, on = np.minimum(back_a, back_b), np.minimum(on_a, on_b)
+                out = a, b, ca - back, ca + on, cb - back, 1 << j
+                yield pa.RecordBatch.from_arrays([pa.array(v.astype(k)) for v, k in zip(out, kinds, strict=True)], names=names)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
-            for key, doc, label, c, ext, raw in zip(*(batch.column(k).to_pylist() for k in ("key", "owner", "label", "c", "ext", "shingles")), strict=True):
-                if key != now:
+            for side, *row in zip(*(batch.column(k).to_pylist() for k in ("side", *numbers, "shingles")), strict=True):
+                if side != now:
                     yield from pairs_of(rows) if len(rows) > 1 else ()
-                    now, rows = key, []
-                rows.append((doc, label, c, ext, np.frombuffer(raw, np.uint16)))
+                    now, rows = side, []
+                rows.append(row)
         yield from pairs_of(rows) if len(rows) > 1 else ()
 
-    return windows.repartition("key").sortWithinPartitions("key").mapInArrow(f, "a long, b long, a_from int, a_to int, b_from int, hashes int")
+    return windows.repartition("side").sortWithinPartitions("side").mapInArrow(f, "a long, b long, a_from int, a_to int, b_from int, hashes int").distinct()
 
 
 def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 75, hashes: int = 7, agree: int = 2) -> DataFrame:
