@@ -12,16 +12,20 @@ candidate regions; those in which `agree` hashes have a part are verified: in th
 other document's shingles cover best is cut out, and a passage is reported if both sides have `min_words` words and the
 shingle sets have a similarity of `percent` / 100.
 
-Keys whose windows then still lie in different classes of passages are compared in full: of all pairs of windows of
-other documents and classes, those that share as many shingles as two similar passages must are verified as well, one
-agreeing hash being enough.
+Documents that this leaves in different classes are then compared wherever they share a key and, on one side of its
+token, the sketch (a min-hash of 10 bits) of the tokens a quarter to half a passage away; a passage that holds a token
+reaches that far on one side at least. Of all pairs of their windows that are not alike, those go on to verification
+that share as many shingles, as densely around the token, as similar passages must; one agreeing hash is enough there.
 
 Two passages of that similarity share the min-hash of each function with probability 0.75 or more, so that fewer than
-two of seven functions agree with probability 0.13 % at most; passages that are equal are always found.
-
-Defined results: null, empty and short texts have no passages; only passages in documents with different doc_id are
-reported (null counts as one id); repeated rows give the same passages once; an empty table gives no rows; other
-columns are not read.
+two of seven functions agree with probability 0.13 % at most. Documents that hold equal passages always come into one
+class: there all functions agree, on the sketches too. What is reported of documents of one class are the passages that
+each shares with its partners above, not those of all its pairs.
+
+Defined results: null, empty and short texts have no passages; texts of any length are searched whole (a window tells
+2^20 - 1 tokens on either side apart, and longer passages are found by their parts); only passages in documents with
+different doc_id are reported (null counts as one id); repeated rows give the same passages once; of equal hash values
+the first place counts; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -290,8 +294,8 @@ def regions(pairs: DataFrame, slack: int, agree: int) -> DataFrame:
     return rows.mapInArrow(f, ", ".join(f"{c} long" for c in names))
 
 
-def cut_out(docs: DataFrame, wanted: DataFrame, most: int = 500, bits: int = 32) -> DataFrame:
-    """The shingles of the wanted stretches (doc, from, to, *keys) as column shingles, 32 or 16 bits each.
+def cut_out(docs: DataFrame, wanted: DataFrame, most: int = 500) -> DataFrame:
+    """The shingles of the wanted stretches (doc, from, to, *keys) as column shingles, 32 bits each.
 
     Documents without a stretch are dropped where they are read, by a Bloom filter. The stretches of a document come in
     groups of about `most`, each with the text once, so that a document many others share does not send it with each.
@@ -307,7 +311,7 @@ def cut_out(docs: DataFrame, wanted: DataFrame, most: int = 500, bits: int = 32)
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, x in zip(batch.column("text"), batch.column("x"), strict=True):
-                t = (tokens(text.as_py() or b"") >> np.uint64(64 - bits)).astype(f"u{bits // 8}")
+                t = (tokens(text.as_py() or b"") >> np.uint64(32)).astype(np.uint32)
                 part = x.values
                 for lo, hi in blocks(len(part), most):
                     some_ = part.slice(lo, hi - lo)
@@ -424,24 +428,6 @@ def verified(docs: DataFrame, found: DataFrame, width: int, percent: int) -> Dat
     return rows.mapInArrow(f, "a long, b long, a_from long, a_to long, b_from long, b_to long, similarity double")
 
 
-def segments(found: DataFrame) -> DataFrame:
-    """doc, from, to (tokens, `to` excluded), label: documents with verified passages, cut into these and what lies between.
-
-    Overlapping passages are one segment, whose label is the class of the document; the segments between have none.
-    """
-    side = lambda d: found.select(F.col(d).alias("doc"), F.col(f"{d}_from").alias("from"), (F.col(f"{d}_to") - SHINGLE + 1).alias("to"))
-    order = Window.partitionBy("doc").orderBy("from", "to")
-    places = side("a").unionByName(side("b")).distinct()
-    places = places.withColumn("new", F.coalesce((F.col("from") >= F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1)))
-    places = places.withColumn("n", F.sum("new").over(order)).groupBy("doc", "n").agg(F.min("from").alias("from"), F.max("to").alias("to"))
-    classes = components(found.select("a", "b").distinct()).select(F.col("node").alias("doc"), F.col("component").alias("label"))
-    places = cut(places.join(classes, "doc"), "places")
-    beside = Window.partitionBy("doc").orderBy("n")
-    before = places.select("doc", F.coalesce(F.lag("to").over(beside), F.lit(0)).alias("from"), F.col("from").alias("to"))
-    last = places.groupBy("doc").agg(F.max("to").alias("from")).withColumn("to", F.lit(1 << 40))
-    return places.drop("n").unionByName(before.unionByName(last).withColumn("label", F.lit(None).cast("long")))
-
-
 def poorest(t: np.ndarray, at: int, width: int) -> int:
     """The least number of distinct shingles in `width` shingles that hold the one at `at`."""
     order = np.argsort(t, kind="stable")
@@ -479,23 +465,24 @@ def may_hold(hit: np.ndarray, size: np.ndarray, at: np.ndarray, width: int, perc
 def alike(label: np.ndarray, at: np.ndarray, shingles: list[np.ndarray], width: int, percent: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of windows (label, place of c, shingles) of other labels that share as many shingles as a passage needs.
 
-    Two passages of d and e distinct shingles share (d + e) * percent / (100 + percent); two less are asked for, since
-    different shingles may have the same 16 bits. Where no shingle of a window is repeated, they also must stand around
-    c as densely as may_hold() asks for.
+    Two passages of d and e distinct shingles share (d + e) * percent / (100 + percent), and percent / 100 of either's.
+    Where no shingle of a window is repeated, they also must stand around c as densely as may_hold() asks for.
     """
     sets = [np.unique(x) for x in shingles]
     size = np.array([len(s) for s in sets])
     length = np.array([len(x) for x in shingles])
+    known, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    start = np.r_[0, np.cumsum(size)]
     padded = np.zeros((len(shingles), length.max()), np.int64)
-    padded[np.arange(length.max()) < length[:, None]] = np.concatenate(shingles)
-    held = np.zeros(1 << 16, bool)
+    padded[np.arange(length.max()) < length[:, None]] = np.searchsorted(known, np.concatenate(shingles))
+    held = np.zeros(len(known), bool)
 
     def dense(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether windows i may hold a passage whose shingles are those of windows j."""
         out = size[i] < length[i]
         order = np.argsort(j, kind="stable")
         for part in np.split(order, np.nonzero(np.diff(j[order]))[0] + 1):
-            other = sets[j[part[0]]]
+            other = column[start[j[part[0]]] : start[j[part[0]] + 1]]
             held[other] = True
             k = i[part]
             out[part] |= may_hold(held[padded[k]], length[k], at[k], width, percent)
@@ -503,8 +490,6 @@ def alike(label: np.ndarray, at: np.ndarray, shingles: list[np.ndarray], width:
         return out
 
     poor = np.array([width if len(s) == len(x) >= width else poorest(x, int(k), width) for s, x, k in zip(sets, shingles, at, strict=True)])
-    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    start = np.r_[0, np.cumsum(size)]
     number = np.full(len(often), -1)
 
     def matrix(some: np.ndarray, width_: int) -> np.ndarray:
@@ -523,7 +508,8 @@ def alike(label: np.ndarray, at: np.ndarray, shingles: list[np.ndarray], width:
         x = matrix(few[a:b], len(used))
         for c, d in blocks(len(label), block):
             here = np.arange(c, d)
-            least = np.maximum(1, -(-(poor[few[a:b], None] + poor[None, here]) * percent // (100 + percent)) - 2)
+            d, e = poor[few[a:b], None], poor[None, here]
+            least = np.maximum(-(-(d + e) * percent // (100 + percent)), -(-np.maximum(d, e) * percent // 100))
             fine = (x @ matrix(here, len(used)).T >= least) & (group[few[a:b], None] != group[None, here])
             fine &= (group[here] == sizes.argmax())[None, :] | (few[a:b, None] < here[None, :])
             i, j = np.nonzero(fine)
@@ -537,59 +523,44 @@ def alike(label: np.ndarray, at: np.ndarray, shingles: list[np.ndarray], width:
         number[used] = -1
 
 
-def representatives(shared: DataFrame, parts: DataFrame, width: int) -> DataFrame:
-    """side, label, body, and the first and last (doc, c, ext) of the windows that are alike in all three.
+def representatives(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """side, label, body, and the first (doc, c, ext) of the windows that are alike in all three.
 
-    A window whose token stands in a verified passage has the class of its document as label: it need not meet others
-    of that class. All others have labels of their own and end where a verified passage begins (width // 6 tokens on, as
-    passages may overlap a little); those that are then too short for a passage go. side names a key together with the
-    sketch of one side of its token; only sides stay that several documents hold under several labels. (A frequent line
-    shorter than half a passage leaves the sketches to what surrounds it.)
+    label is the class of the window's document, or the document itself: a document need not meet others of its class.
+    side names a key together with the sketch of one side of its token; only sides stay that are held under several
+    labels. (A frequent line shorter than half a passage leaves the sketches to what surrounds it.)
     """
-    rows = shared.where("not tried").drop("tried").join(parts.withColumnRenamed("doc", "of"), (F.col("doc") == F.col("of")) & (F.col("c") >= F.col("from")) & (F.col("c") < F.col("to")), "left")
-    before, after = (F.shiftright("ext", k).bitwiseAND(F.lit(REACH)) for k in (44, 24))
-    before = F.least(before, F.col("c") - F.coalesce("from", F.lit(0)) + width // 6)
-    after = F.least(after, F.coalesce("to", F.lit(1 << 40)) - 1 - F.col("c") + width // 6)
-    clipped = F.call_function("shiftleft", before, F.lit(44)).bitwiseOR(F.call_function("shiftleft", after, F.lit(24))).bitwiseOR(F.col("ext").bitwiseAND(F.lit((1 << 24) - 1)))
-    free = F.col("label").isNull()
-    rows = rows.where(~free | (before + after + 1 >= width)).withColumn("ext", F.when(free, clipped).otherwise(F.col("ext")))
-    rows = rows.select(*COLUMNS, F.coalesce("label", F.xxhash64("doc", "c", F.lit("alone"))).alias("label"))
+    rows = shared.where("not tried").drop("tried").join(classes.select(F.col("node").alias("doc"), F.col("component").alias("label")), "doc", "left")
     sketch = lambda k: F.shiftright("ext", 4 + k * SKETCH).bitwiseAND(F.lit((1 << SKETCH) - 1))
     sides = F.array(*(F.struct(F.lit(k).alias("k"), sketch(k).alias("sketch")) for k in (0, 1)))
-    rows = cut(rows.withColumn("x", F.explode(sides)).where("x.sketch > 0").select(F.xxhash64("key", "x").alias("side"), "label", "body", "doc", "c", "ext"), "sides")
-    mixed = rows.groupBy("side").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.min("doc").alias("d"), F.max("doc").alias("e")).where("p <> q and d <> e").select("side")
+    rows = rows.withColumn("label", F.coalesce("label", "doc")).withColumn("x", F.explode(sides)).where("x.sketch > 0")
+    rows = cut(rows.select(F.xxhash64("key", "x").alias("side"), "label", "body", "doc", "c", "ext"), "sides")
+    mixed = rows.groupBy("side").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("side")
     place = F.struct("doc", "c", "ext")
-    return rows.join(mixed, "side", "left_semi").groupBy("side", "label", "body").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    return rows.join(mixed, "side", "left_semi").groupBy("side", "label", "body").agg(F.min(place).alias("first"))
 
 
-def across(docs: DataFrame, shared: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
-    """Rows like window_pairs() of all windows of a key with different labels that may share a passage.
+def across(docs: DataFrame, shared: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Rows like window_pairs() of all windows of a key in documents of different classes that may share a passage.
 
     Windows of one class with the same tokens are compared as one. Those of a key and side stream into one task; only
     pairs that share enough shingles near c leave it. Up to 2 * width shingles on either side count, which hold any
     passage of that length around c; a longer one is found by its parts.
     """
-    reps = cut(representatives(shared, segments(found), width), "representatives")
+    reps = cut(representatives(shared, classes), "representatives")
     c = F.col("first.c")
     before, after = (F.least(F.shiftright("first.ext", k).bitwiseAND(F.lit(REACH)), F.lit(2 * width)).cast("int") for k in (44, 24))
-    wanted = reps.select(F.col("first.doc").alias("doc"), (c - before).alias("from"), (c + after).alias("to"), before.alias("at"), "side", "label", *(F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in ("first", "last") for y in ("doc", "c", "ext")))
-    windows = cut_out(docs, wanted, bits=16)
-    numbers = ["label", "at", "first_doc", "first_c", "first_ext", "last_doc", "last_c", "last_ext"]
+    wanted = reps.select(F.col("first.doc").alias("doc"), (c - before).alias("from"), (c + after).alias("to"), before.alias("at"), "side", "label", *(F.col(f"first.{x}").alias(f"first_{x}") for x in ("doc", "c", "ext")))
+    windows = cut_out(docs, wanted)
+    numbers = ["label", "at", "first_doc", "first_c", "first_ext"]
     names = ["a", "b", "a_from", "a_to", "b_from", "hashes"]
     kinds = [np.int64, np.int64, np.int32, np.int32, np.int32, np.int32]
 
     def pairs_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         label, at, *places = (np.array(v, np.int64) for v in zip(*(r[:-1] for r in rows), strict=True))
-        first, last = places[:3], places[3:]
-        for x, y in alike(label, at, [np.frombuffer(r[-1], np.uint16) for r in rows], width, percent):
-            # Two windows of one document stand for those of others that are like one of them.
-            same = first[0][x] == first[0][y]
-            p = [np.where(same, m[x], n[x]) for m, n in zip(last, first, strict=True)]
-            also = p[0] == first[0][y]
-            q = [np.where(also, m[y], n[y]) for m, n in zip(last, first, strict=True)]
-            fine = p[0] != q[0]
-            swap = p[0] < q[0]
-            (a, ca, ea), (b, cb, eb) = ([np.where(swap, m, n)[fine] for m, n in zip(u, v, strict=True)] for u, v in ((q, p), (p, q)))
+        for x, y in alike(label, at, [np.frombuffer(r[-1], np.uint32) for r in rows], width, percent):
+            swap = places[0][x] < places[0][y]
+            (a, ca, ea), (b, cb, eb) = ([np.where(swap, m[v], m[u]) for m in places] for u, v in ((x, y), (y, x)))
             if len(a):
                 (back_a, on_a, j), (back_b, on_b, _) = unpack(ea), unpack(eb)
                 back, on = np.minimum(back_a, back_b), np.minimum(on_a, on_b)
@@ -609,11 +580,21 @@ def across(docs: DataFrame, shared: DataFrame, found: DataFrame, width: int, per
     return windows.repartition("side").sortWithinPartitions("side").mapInArrow(f, "a long, b long, a_from int, a_to int, b_from int, hashes int").distinct()
 
 
+def joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes (node, component) with further links (a, b) between nodes, some of which may be new."""
+    of = lambda c: classes.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    merged = components(cut(ends.distinct(), "ends"))
+    merged = cut(merged, "merged")
+    old = classes.join(merged.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+    return old.unionByName(merged.join(classes.select("node"), "node", "left_anti"))
+
+
 def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 75, hashes: int = 7, agree: int = 2) -> DataFrame:
     """doc_id, start_word, end_word, other_id, other_start, other_end (ends excluded), similarity, class_id.
 
     A passage is linked with the first document (by id) that shares one of its signatures and with the preceding one,
-    and with all that share one and lie in other classes of passages after that; class_id is the least doc_id of all documents that such links join.
+    and with all documents of other classes after that; class_id is the least doc_id of all that such links join.
     """
     width = min_words - SHINGLE + 1
     shared = cut(shared_windows(window_rows(docs, hashes, min_words)), "shared")
@@ -625,8 +606,10 @@ def near_passages(docs: DataFrame, min_words: int = 50, percent: int = 75, hashe
         return cut(verified(docs, found, width, percent).distinct(), "passages")
 
     out = checked(window_pairs(shared), agree)
-    out = cut(out.unionByName(checked(across(docs, shared, out, width, percent), 1)).distinct(), "passages")
     classes = cut(components(out.select("a", "b").distinct()), "classes")
+    more = checked(across(docs, shared, classes, width, percent), 1)
+    classes = cut(joined(classes, more.select("a", "b").distinct()), "classes")
+    out = out.unionByName(more).distinct()
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.join(classes.withColumnRenamed("node", "a"), "a").select(
         real("a").alias("doc_id"), F.col("a_from").alias("start_word"), F.col("a_to").alias("end_word"), real("b").alias("other_id"), F.col("b_from").alias("other_start"), F.col("b_to").alias("other_end"), "similarity", real("component").alias("class_id")

@@ -141,3 +141,73 @@ def test_passages_around_a_frequent_line(spark):
     for r in cw.near_passages(df).collect():
         groups.setdefault(r.class_id, set()).update((r.doc_id, r.other_id))
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, copies.values()))
+
+
+def test_every_link_among_competing_documents(spark):
+    """Two documents hold a passage of 50 words; documents between and before them hold its halves only."""
+    rng = random.Random(11)
+    rows, pairs = [], []
+    for n in (0, 1, 2, 4, 8):
+        for _ in range(6):
+            passage = words(rng, 50)
+
+            def decoys():
+                half = rng.choice([passage[:25], passage[25:], passage[10:40]])
+                return words(rng, 60) + half + words(rng, 60)
+
+            group = [decoys() for _ in range(n)] + [words(rng, 40) + passage + words(rng, 40)] + [decoys() for _ in range(n)] + [words(rng, 70) + passage + words(rng, 10)]
+            pairs.append((len(rows) + n, len(rows) + 2 * n + 1))
+            rows += [(len(rows) + i, " ".join(w)) for i, w in enumerate(group)]
+    got = cw.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r.doc_id: r.class_id for r in got} | {r.other_id: r.class_id for r in got}
+    assert all(found.get(a) == found.get(b) == a for a, b in pairs)
+    assert set(found) == {x for p in pairs for x in p}
+
+
+def test_links_at_the_similarity_of_the_query(spark):
+    """Edited copies among competing documents that share a line; brute force over all pairs of passages says which are links."""
+    rng = random.Random(12)
+    line = words(rng, 20)
+    rows, want = [], set()
+    for p in range(40):
+        passage = words(rng, 60)
+        copy = list(passage)
+        at = rng.randrange(6, 50)
+        copy[at : at + rng.randint(1, 2)] = words(rng, 1)
+        a, b = len(rows), len(rows) + 1
+        for w in (passage, copy):
+            rows.append((len(rows), " ".join(words(rng, 60) + w + words(rng, 30) + line + words(rng, 40))))
+        s, t = (set(cw.tokens(" ".join(w).encode()).tolist()) for w in (passage, copy))
+        assert len(s & t) >= 0.75 * len(s | t)
+        want.add((b, a))
+    rows += [(len(rows) + i, " ".join(words(rng, 50) + line + words(rng, 50))) for i in range(60)]
+    rng.shuffle(rows)
+    got = {(r.doc_id, r.other_id) for r in cw.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= want and len(got) >= 39
+
+
+def test_may_hold_lets_all_passages_through():
+    rng = np.random.default_rng(0)
+    for _ in range(3000):
+        n = int(rng.integers(1, 25))
+        at = int(rng.integers(0, n))
+        hit = np.zeros((1, 25), bool)
+        hit[0, :n] = rng.random(n) < rng.choice([0.5, 0.7, 0.9])
+        ends = [(x, y) for x in range(max(0, at - 12), at + 1) for y in range(at, min(n, at + 13)) if y - x >= 5]
+        if any(hit[0, x : y + 1].sum() >= max(6, 0.75 * (y - x + 1)) for x, y in ends):
+            assert cw.may_hold(hit, np.array([n]), np.array([at]), 6, 75)[0]
+
+
+def test_trees_of_many_texts():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        start = np.r_[0, np.cumsum(rng.integers(0, 50, rng.integers(1, 6)))]
+        v, width = rng.integers(0, rng.choice([3, 10, 10**6]), start[-1]), int(rng.integers(1, 9))
+        want, todo = [], list(zip(start[:-1].tolist(), (start[1:] - 1).tolist(), strict=True))
+        while todo:
+            a, b = todo.pop()
+            if b - a + 1 >= width:
+                c = a + int(v[a : b + 1].argmin())
+                want.append((a, c, b))
+                todo += [(a, c - 1), (c + 1, b)]
+        assert sorted(map(tuple, cw.compact_windows(v, width, start).tolist())) == sorted(want)
