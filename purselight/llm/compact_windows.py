@@ -163,7 +163,7 @@ def window_rows(docs: DataFrame, hashes: int, min_words: int) -> DataFrame:
             sides = side_sketches(t, start, width)
             sides, body = sides[0] << SKETCH | sides[1], run_hashes(t)
             for j, seed in enumerate(seeds):
-                v = mix(t ^ seed)
+                v = (t ^ seed) * (seed | np.uint64(1))  # tokens are well mixed, so that an odd factor orders them anew
                 left, c, right = compact_windows(v & ~_TIE | tie, width, start).T
                 before, after = np.minimum(c - left, REACH), np.minimum(right - c, REACH)
                 ext = before << 44 | after << 24 | sides[c] << 4 | j
@@ -204,8 +204,9 @@ def shared_windows(windows: DataFrame) -> DataFrame:
             return
         start = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
         size = np.diff(np.r_[start, len(key)])
-        documents = np.add.reduceat(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])].astype(np.int64), start)
-        keep, tried = np.repeat(documents > 1, size), np.repeat((size <= 3) & (documents == size), size)
+        one, two, three = doc[start], doc[start + (size > 1)], doc[start + np.minimum(size - 1, 2)]
+        few = (size == 2) & (one != two) | (size == 3) & (one != two) & (one != three) & (two != three)
+        keep, tried = np.repeat(np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start), size), np.repeat(few, size)
         if keep.any():
             out = [pa.array(v[keep].astype(k)) for v, k in zip(x, KINDS, strict=True)]
             yield pa.RecordBatch.from_arrays([*out, pa.array(tried[keep])], names=[*COLUMNS, "tried"])
@@ -219,7 +220,7 @@ def shared_windows(windows: DataFrame) -> DataFrame:
             held = [v[at:] for v in x]
         yield from rows(held)
 
-    return windows.repartition("key").sortWithinPartitions("key", "doc", "c").mapInArrow(f, f"{WINDOWS}, tried boolean")
+    return windows.repartition("key").sortWithinPartitions("key").mapInArrow(f, f"{WINDOWS}, tried boolean")
 
 
 def window_pairs(windows: DataFrame) -> DataFrame:
@@ -262,6 +263,17 @@ def regions(pairs: DataFrame, slack: int, agree: int) -> DataFrame:
     separate it, in both documents.
     """
     names = ["a", "b", "a_from", "a_to", "b_from", "b_to"]
+
+    def merged(batch: pa.RecordBatch) -> list[np.ndarray]:
+        """a, b, a_from, a_to, b_from, b_to, bits: rows that each overlap the one before them are one already."""
+        a, b, a0, a1, b0, bits = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "a_from", "a_to", "b_from", "hashes"))
+        if not len(a):
+            return [a, b, a0, a1, b0, b0, bits]
+        b1 = b0 + a1 - a0
+        new = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (a0[1:] > a1[:-1] + slack) | (b0[1:] > b1[:-1] + slack) | (b0[:-1] > b1[1:] + slack)
+        at = np.nonzero(np.r_[True, new])[0]
+        return [a[at], b[at], a0[at], np.maximum.reduceat(a1, at), np.minimum.reduceat(b0, at), np.maximum.reduceat(b1, at), np.bitwise_or.reduceat(bits, at)]
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, opened = None, []
 
@@ -270,11 +282,10 @@ def regions(pairs: DataFrame, slack: int, agree: int) -> DataFrame:
 
         for batch in batches:
             out = []
-            for a, b, a0, a1, b0, bits in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "a_from", "a_to", "b_from", "hashes")), strict=True):
+            for a, b, a0, a1, b0, b1, bits in zip(*(x.tolist() for x in merged(batch)), strict=True):
                 if (a, b) != now:
                     out += [row(x) for x in opened if x[4].bit_count() >= agree]
                     now, opened = (a, b), []
-                b1 = b0 + a1 - a0
                 rest = []
                 for x in opened:
                     if x[1] + slack < a0:  # nothing that follows can reach it
@@ -368,6 +379,8 @@ def search(a: np.ndarray, b: np.ndarray, width: int, percent: int, todo: list[tu
     all fail, as b holds parts of the stretch in different places, the part that b's stretch covers and the rest are.
     """
     out = []
+    if not any(hi - lo >= width for lo, hi in todo):
+        return out
     cuts = (lambda h: longest_stretch(h, 3), lambda h: longest_stretch(h, 6), best_stretch)
     hits = inside(a, np.sort(b))
     while todo:
@@ -428,23 +441,29 @@ def verified(docs: DataFrame, found: DataFrame, width: int, percent: int) -> Dat
     return rows.mapInArrow(f, "a long, b long, a_from long, a_to long, b_from long, b_to long, similarity double")
 
 
-def poorest(t: np.ndarray, at: int, width: int) -> int:
-    """The least number of distinct shingles in `width` shingles that hold the one at `at`."""
-    order = np.argsort(t, kind="stable")
-    before = np.full(len(t), -1)
-    same = t[order[1:]] == t[order[:-1]]
-    before[order[1:][same]] = order[:-1][same]
-    if not same.any():
-        return width
-    starts = np.arange(max(0, at - width + 1), min(at, len(t) - width) + 1)
-    return int((before[starts[:, None] + np.arange(width)] < starts[:, None]).sum(1).min()) if len(starts) else 1
+def poorest(t: np.ndarray, size: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """For each row the least number of distinct values in `width` places that hold place `at`; 1 for rows shorter than that.
+
+    t: a row of `size` values for each window, what follows them differs from all of them.
+    """
+    order = np.argsort(t, 1, kind="stable")
+    rising = np.take_along_axis(t, order, 1)
+    before = np.full(t.shape, -1)  # the place before with the same value
+    np.put_along_axis(before, order[:, 1:], np.where(rising[:, 1:] == rising[:, :-1], order[:, :-1], -1), 1)
+    out = np.where(size < width, 1, width)
+    for start in range(t.shape[1] - width + 1):
+        holds = (start <= at) & (at < start + width) & (start + width <= size)
+        if holds.any():
+            out[holds] = np.minimum(out[holds], (before[holds, start : start + width] < start).sum(1))
+    return out
 
 
-def may_hold(hit: np.ndarray, size: np.ndarray, at: np.ndarray, width: int, percent: int) -> np.ndarray:
+def may_hold(hit: np.ndarray, size: np.ndarray, at: np.ndarray, width: int, percent: int, miss: int | None = None) -> np.ndarray:
     """Whether a passage of `width` places or more around place `at` may be hit often enough; hit: a row for each window of `size` places.
 
-    A passage has percent / 100 hits among its places, and as many as two passages of `width` must share. The test looks
-    at the widest stretch around `at` both ends of which could belong to one, so it lets all passages through.
+    Hits count 100 - percent, others -miss (-percent by default, so that percent / 100 of the passage must be hit); a
+    passage must come to 0, and to as many hits as two passages of `width` must share. The test looks at the widest
+    stretch around `at` both ends of which could belong to one, so it lets all passages through.
     """
     step = np.arange(2 * width + 1)
 
@@ -452,7 +471,7 @@ def may_hold(hit: np.ndarray, size: np.ndarray, at: np.ndarray, width: int, perc
         place = from_[:, None] + sign * step
         inside = (place >= 0) & (place < size[:, None])
         seen = np.take_along_axis(hit, np.clip(place, 0, hit.shape[1] - 1), 1) & inside
-        return np.cumsum(np.where(seen, 100 - percent, np.where(inside, -percent, -(10**6))), 1), np.cumsum(seen, 1)
+        return np.cumsum(np.where(seen, 100 - percent, np.where(inside, -(miss or percent), -(10**6))), 1), np.cumsum(seen, 1)
 
     (after, hits_after), (before, hits_before) = going(at, 1), going(at - 1, -1)
     before, hits_before = (np.hstack([np.zeros((len(at), 1), np.int64), x]) for x in (before, hits_before))
@@ -465,19 +484,29 @@ def may_hold(hit: np.ndarray, size: np.ndarray, at: np.ndarray, width: int, perc
 def alike(label: np.ndarray, at: np.ndarray, shingles: list[np.ndarray], width: int, percent: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of windows (label, place of c, shingles) of other labels that share as many shingles as a passage needs.
 
-    Two passages of d and e distinct shingles share (d + e) * percent / (100 + percent), and percent / 100 of either's.
-    Where no shingle of a window is repeated, they also must stand around c as densely as may_hold() asks for.
+    Two passages of d and e distinct shingles share (d + e) * percent / (100 + percent), percent / 100 of either's and
+    2 * percent / (100 + percent) of the smaller's. Where no shingle of a window is repeated, that also holds of places
+    around c, see may_hold().
     """
-    sets = [np.unique(x) for x in shingles]
-    size = np.array([len(s) for s in sets])
     length = np.array([len(x) for x in shingles])
-    known, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    inside = np.arange(length.max()) < length[:, None]
+    filled = np.full(inside.shape, 1 << 32)
+    filled[inside] = np.concatenate(shingles)
+    rising = np.sort(filled, 1)
+    first = np.hstack([np.ones((len(rising), 1), bool), rising[:, 1:] != rising[:, :-1]]) & (rising < 1 << 32)
+    size = first.sum(1)
+    known, column, often = np.unique(rising[first], return_inverse=True, return_counts=True)
     start = np.r_[0, np.cumsum(size)]
-    padded = np.zeros((len(shingles), length.max()), np.int64)
-    padded[np.arange(length.max()) < length[:, None]] = np.searchsorted(known, np.concatenate(shingles))
+    padded = np.searchsorted(known, np.where(inside, filled, 0))
+    padded[padded == len(known)] = 0
     held = np.zeros(len(known), bool)
+    poor = np.where(length < width, 1, width)
+    repeats = np.nonzero(size < length)[0]
+    for a, b in blocks(len(repeats), 4 * block):
+        k = repeats[a:b]
+        poor[k] = poorest(filled[k], length[k], at[k], width)
 
-    def dense(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def dense(i: np.ndarray, j: np.ndarray, miss: int) -> np.ndarray:
         """Whether windows i may hold a passage whose shingles are those of windows j."""
         out = size[i] < length[i]
         order = np.argsort(j, kind="stable")
@@ -485,11 +514,10 @@ def alike(label: np.ndarray, at: np.ndarray, shingles: list[np.ndarray], width:
             other = column[start[j[part[0]]] : start[j[part[0]] + 1]]
             held[other] = True
             k = i[part]
-            out[part] |= may_hold(held[padded[k]], length[k], at[k], width, percent)
+            out[part] |= may_hold(held[padded[k]], length[k], at[k], width, percent, miss)
             held[other] = False
         return out
 
-    poor = np.array([width if len(s) == len(x) >= width else poorest(x, int(k), width) for s, x, k in zip(sets, shingles, at, strict=True)])
     number = np.full(len(often), -1)
 
     def matrix(some: np.ndarray, width_: int) -> np.ndarray:
@@ -508,16 +536,22 @@ def alike(label: np.ndarray, at: np.ndarray, shingles: list[np.ndarray], width:
         x = matrix(few[a:b], len(used))
         for c, d in blocks(len(label), block):
             here = np.arange(c, d)
-            d, e = poor[few[a:b], None], poor[None, here]
-            least = np.maximum(-(-(d + e) * percent // (100 + percent)), -(-np.maximum(d, e) * percent // 100))
+            m, n = poor[few[a:b], None], poor[None, here]
+            least = np.maximum(-(-(m + n) * percent // (100 + percent)), -(-np.maximum(m, n) * percent // 100))
             fine = (x @ matrix(here, len(used)).T >= least) & (group[few[a:b], None] != group[None, here])
             fine &= (group[here] == sizes.argmax())[None, :] | (few[a:b, None] < here[None, :])
             i, j = np.nonzero(fine)
             i, j = few[a:b][i], here[j]
-            for u, v in ((0, 1), (1, 0)):
+            for u in (0, 1):
                 if len(i):
-                    may = dense(*((i, j)[k] for k in (u, v)))
+                    may = dense(*((i, j) if u else (j, i)), percent)
                     i, j = i[may], j[may]
+            if len(i):
+                may = dense(i, j, 2 * percent)
+                rest = np.nonzero(~may)[0]
+                if len(rest):
+                    may[rest] = dense(j[rest], i[rest], 2 * percent)
+                i, j = i[may], j[may]
             if len(i):
                 yield i, j
         number[used] = -1
