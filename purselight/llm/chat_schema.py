@@ -13,7 +13,10 @@ text of each assistant turn.
 A conversation is kept as one row per turn, never gathered: read_back() streams sorted rows with running digests.
 
 Defined results: a null text or role is empty; turns with equal numbers are ordered by their place in the record, then
-by the formatted turn; null numbers come first; a null conversation id is a conversation; an empty table gives no rows.
+by the formatted turn; null numbers come first; a null conversation id is a conversation; repeated rows are turns each;
+a null record, one that is no JSON or is nested too deep for the JSON parser gives no turns; fields nested deeper than a
+mapping's do no harm; texts of any length are formatted whole, a turn at a time; an empty table gives no rows; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -64,11 +67,23 @@ MAPPINGS = (
 
 def paths(value, prefix: str = "") -> set[str]:
     """Nested field paths of a JSON value; lists add [] and join the paths of their elements."""
-    if isinstance(value, dict):
-        return set().union(*(paths(v, f"{prefix}.{k}" if prefix else k) for k, v in value.items()), set())
-    if isinstance(value, list):
-        return set().union(*(paths(v, f"{prefix}[]") for v in value), set()) or {f"{prefix}[]"}
-    return {prefix} if prefix else set()
+    out: set[str] = set()
+    todo, seen = [(value, prefix, None)], 0  # seen: paths so far; a list under which none came is a path itself
+    while todo:
+        value, at, before = todo.pop()
+        if before is not None:
+            if seen == before:
+                out.add(at)
+                seen += 1
+        elif isinstance(value, dict):
+            todo += [(v, f"{at}.{k}" if at else k, None) for k, v in value.items()]
+        elif isinstance(value, list):
+            todo.append((None, f"{at}[]", seen))
+            todo += [(v, f"{at}[]", None) for v in value]
+        elif at:
+            out.add(at)
+            seen += 1
+    return out
 
 
 def fingerprint(found: set[str] | tuple[str, ...]) -> str:
@@ -98,6 +113,12 @@ class Mapper:
 
     def turns(self, record) -> tuple[str, str | None, list[tuple[str, str]]]:
         """(fingerprint, name of the mapping, turns)."""
+        try:
+            return self._turns(record)
+        except RecursionError:  # a role or text that is itself nested too deep to be written as JSON
+            return self.choose(record)[0], None, []
+
+    def _turns(self, record) -> tuple[str, str | None, list[tuple[str, str]]]:
         key, m = self.choose(record)
         if m is None or not isinstance(record, dict):
             return key, None, []
@@ -128,7 +149,7 @@ def _at(record, path: str):
 def _parsed(text: str | None):
     try:
         return json.loads(text) if text else None
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
 
 

@@ -116,8 +116,23 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | li
     return df.mapInArrow(run, schema)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+class _Hashes(dict):
+    """Hashes of words met before; long words are hashed anew each time."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = h
+        return h
+
+
+_KNOWN = _Hashes()
+
+
+def word_hashes(words: list[bytes], most: int = 1 << 17) -> np.ndarray:
+    if len(_KNOWN) > most:
+        _KNOWN.clear()
+    return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
 
 
 class HashSet:

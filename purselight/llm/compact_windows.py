@@ -151,7 +151,7 @@ def window_rows(docs: DataFrame, hashes: int, min_words: int) -> DataFrame:
     width = min_words - SHINGLE + 1
     seeds = mix(np.arange(1, hashes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     def f(batch: pa.RecordBatch):
-        for a, b in blocks(batch.num_rows, 500):
+        for a, b in blocks(batch.num_rows, 64):  # arrays that stay in the processor's cache
             part = batch.slice(a, b - a)
             t, start = token_block(binaries(part, "text"))
             if not len(t):
@@ -162,13 +162,14 @@ def window_rows(docs: DataFrame, hashes: int, min_words: int) -> DataFrame:
             tie = mix(place.astype(np.uint64)) & _TIE
             sides = side_sketches(t, start, width)
             sides, body = sides[0] << SKETCH | sides[1], run_hashes(t)
+            out = []
             for j, seed in enumerate(seeds):
                 v = (t ^ seed) * (seed | np.uint64(1))  # tokens are well mixed, so that an odd factor orders them anew
                 left, c, right = compact_windows(v & ~_TIE | tie, width, start).T
                 before, after = np.minimum(c - left, REACH), np.minimum(right - c, REACH)
-                ext = before << 44 | after << 24 | sides[c] << 4 | j
                 near = body(np.maximum(left, c - 2 * width), np.minimum(right, c + 2 * width))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(v[c])), pa.array(doc[text[c]]), pa.array(place[c].astype(np.int32)), pa.array(ext), pa.array(near)], names=COLUMNS)
+                out.append((signed(v[c]), doc[text[c]], place[c], before << 44 | after << 24 | sides[c] << 4 | j, near))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in zip(zip(*out, strict=True), KINDS, strict=True)], names=COLUMNS)
 
     return map_batches(keyed(docs), f, WINDOWS)
 
@@ -499,6 +500,21 @@ def alike(label: np.ndarray, at: np.ndarray, shingles: list[np.ndarray], width:
     start = np.r_[0, np.cumsum(size)]
     padded = np.searchsorted(known, np.where(inside, filled, 0))
     padded[padded == len(known)] = 0
+    _, group, sizes = np.unique(label, return_inverse=True, return_counts=True)
+    # Rows that share less than any passage must with rows of all other labels together go first.
+    of = np.repeat(group, size)
+    low, high = np.full(len(known), len(sizes)), np.full(len(known), -1)
+    np.minimum.at(low, column, of)
+    np.maximum.at(high, column, of)
+    shared = np.add.reduceat((low != high)[column], start[:-1])
+    hopeful = shared >= np.where((size == length) & (length >= width), -(-width * percent // 100), 1)
+    if len(np.unique(group[hopeful])) < 2:
+        return
+    if not hopeful.all():
+        k = np.nonzero(hopeful)[0]
+        for i, j in alike(label[k], at[k], [shingles[x] for x in k], width, percent, block):
+            yield k[i], k[j]
+        return
     held = np.zeros(len(known), bool)
     poor = np.where(length < width, 1, width)
     repeats = np.nonzero(size < length)[0]
@@ -527,7 +543,6 @@ def alike(label: np.ndarray, at: np.ndarray, shingles: list[np.ndarray], width:
             out[k, at[at >= 0]] = 1
         return out
 
-    _, group, sizes = np.unique(label, return_inverse=True, return_counts=True)
     few = np.nonzero(group != sizes.argmax())[0]  # one end at least of each pair is outside of the largest class
     for a, b in blocks(len(few), block):
         used = np.unique(np.concatenate([column[start[r] : start[r + 1]] for r in few[a:b]]))

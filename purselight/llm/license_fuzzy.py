@@ -2,11 +2,14 @@
 
 Texts are normalised to words of digits, a-z (A-Z lower-cased) and non-ASCII characters, with one space between. A
 notice that may have k errors is split into k + 1 pieces; a text within k errors must hold one of them unchanged. All
-pieces of all notices are sought in one pass (Aho-Corasick); around each hit a window just large enough for the notice
-goes to the regex library, whose bounded-error matching confirms it and gives its span and errors.
-
-Defined results: null text is empty (no words, no labels, score 0); repeated rows are scanned each; an empty table gives
-no rows; other columns are not read. Texts are scanned whole, however long.
+pieces of all notices are sought in one pass (Aho-Corasick). Around each hit, in a window just large enough for the
+notice, the places are found where an alignment within k errors ends (Myers' bit vectors, one step a character, so that
+a text of near misses costs no more than any other); the stretch before such a place goes to the regex library, whose
+bounded-error matching confirms the notice and gives its span and errors.
+
+Defined results: null and empty texts have no words and no labels, and score 0; repeated rows are scanned each; texts are
+scanned whole, however long; of matches that overlap the first counts; notices of one label at one place give a span
+each; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -55,13 +58,15 @@ class Notice:
     label: str
     text: str
     errors: int
-    pattern: regex.Pattern
+    patterns: list[regex.Pattern]  #: of the text with 0, 1, ... errors at most
+    places: dict[str, int]  #: bits of the places at which a character stands
 
     @classmethod
     def of(cls, label: str, text: str) -> Notice:
         text = b" ".join(normalise(text.encode())).decode()
         k = allowed_errors(len(text))
-        return cls(label, text, k, regex.compile(f"(?e)(?:{regex.escape(text, literal_spaces=True)}){{e<={k}}}"))
+        places = {c: sum(1 << i for i, x in enumerate(text) if x == c) for c in set(text)}
+        return cls(label, text, k, [regex.compile(f"(?:{regex.escape(text, literal_spaces=True)}){{e<={e}}}") for e in range(k + 1)], places)
 
     def pieces(self) -> list[tuple[int, str]]:
         """k + 1 pieces as (start, text)."""
@@ -69,6 +74,40 @@ class Notice:
         return [(n * i // m, self.text[n * i // m : n * (i + 1) // m]) for i in range(m)]
 
 
+    def ends(self, line: str, a: int, b: int) -> list[list[int]]:
+        """Runs [first, last, least errors] of the places in a..b at which an alignment with line[a:b] within the errors ends."""
+        m, places, most = len(self.text), self.places, self.errors
+        every, top = (1 << m) - 1, 1 << (m - 1)
+        up, down, distance = every, 0, m  # differences along a column of the distance matrix
+        out: list[list[int]] = []
+        for at in range(a, b):
+            x = places.get(line[at], 0) | down
+            diagonal = (((x & up) + up) ^ up) | x
+            fall, rise = up & diagonal, down | ~(up | diagonal) & every
+            if rise & top:
+                distance += 1
+            elif fall & top:
+                distance -= 1
+            rise <<= 1
+            up, down = (fall << 1 | ~(rise | diagonal)) & every, rise & diagonal & every
+            if distance <= most:
+                if out and out[-1][1] == at:
+                    out[-1][1:] = at + 1, min(out[-1][2], distance)
+                else:
+                    out.append([at + 1, at + 1, distance])
+        return out
+
+    def matches(self, line: str, a: int, b: int) -> list[tuple[int, int, int]]:
+        """(start, end, errors) of the notice in line[a:b], not overlapping: for each run of ends the first with the least errors."""
+        out, free = [], a
+        for first, last, least in self.ends(line, a, b):
+            found = self.patterns[least].search(line, max(free, first - len(self.text) - self.errors), last)
+            if found:
+                out.append((found.start(), found.end(), sum(found.fuzzy_counts)))
+                free = found.end()
+        return out
+
+
 class Scanner:
     def __init__(self, notices=NOTICES, phrases=None):
         self.notices = [Notice.of(*x) for x in notices]
@@ -118,9 +157,8 @@ class Scanner:
         for i, merged in windows.items():
             notice = self.notices[i]
             for a, b in merged:
-                for m in notice.pattern.finditer(line, a, min(b, len(line))):
-                    errors = sum(m.fuzzy_counts)
-                    spans.append((notice.label, m.start(), m.end(), errors, 1 - errors / len(notice.text)))
+                for start, end, errors in notice.matches(line, a, min(b, len(line))):
+                    spans.append((notice.label, start, end, errors, 1 - errors / len(notice.text)))
         if not places and not spans:
             return len(words), [], []
         spaces = np.array([i for i, c in enumerate(line) if c == " "])

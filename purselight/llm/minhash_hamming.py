@@ -5,8 +5,8 @@ compared. A class has a signature of `chunks` x `slots` min-hashes of 16 bits; t
 number of slots that differ. By the pigeonhole principle two signatures that differ in at most 2 * chunks - 1 slots
 have a chunk with at most one differing slot. Each chunk gives `slots` keys, each leaving one slot out, so any such
 pair shares a key: with 12 chunks of 4 all pairs within 23 of 48 slots become candidates. (At a similarity of 0.75 the
-distance has mean 12 and deviation 3; beyond the guarantee, a pair at exactly 0.75 shares no key with probability
-0.262^12, about 1e-7.)
+distance has mean 12 and deviation 3. Pairs beyond 23 slots count as well if they share a key, up to 30 slots: a pair at
+exactly 0.75 shares no key with probability 0.262^12, about 1e-7, and differs in more than 30 with probability 1e-8.)
 
 A key's classes are not paired with each other but with the key's class of least doc_id. Links between classes that
 these stars have not yet connected follow in a last step: keys whose classes still lie in several components compare
@@ -16,7 +16,8 @@ first key that it shares only. Every candidate link is confirmed on the full set
 time. Components are found by large-star and small-star steps.
 
 Defined results: null text or text without words has an empty set and is linked with nothing; fewer words than five are
-one shingle; rows with equal sets are linked, repeated rows with one doc_id are all returned; a null doc_id belongs to
+one shingle; texts of any length are taken whole, one at a time; of equally near partners the one of larger key is tried
+first, which does not change the components; rows with equal sets are linked, repeated rows with one doc_id are all returned; a null doc_id belongs to
 its class, but is a component's least id only if all are null, and then is kept; an empty table gives no rows; other
 columns are not read.
 """
@@ -110,6 +111,12 @@ def key_rows(classes: DataFrame, chunks: int, slots: int) -> DataFrame:
     return map_batches(classes.select("class", "signature"), f, "key long, class binary")
 
 
+def distance_bound(percent: int, n: int) -> int:
+    """Slots of n in which similar sets may differ: six deviations beyond the mean, which a pair exceeds with probability 1e-8."""
+    miss = 1 - percent / 100
+    return min(n, int(n * miss + 6 * (n * miss * (1 - miss)) ** 0.5))
+
+
 def within(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
     """The pairs (a, b, ...) whose signatures differ in at most `most` slots."""
     sig, columns = classes.select("class", "signature"), pairs.columns
@@ -227,7 +234,7 @@ def across(members: DataFrame, most: int, percent: int, chunks: int, slots: int,
 
 def linked(docs: DataFrame, classes: DataFrame, percent: int, chunks: int, slots: int, shingle: int) -> DataFrame:
     """Components of classes: node, component (both class keys), for classes with a link."""
-    most = 2 * chunks - 1
+    most = distance_bound(percent, chunks * slots)
     rows = key_rows(classes, chunks, slots)
     often = rows.groupBy("key").agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = cut(rows.join(often, "key"), "members")

@@ -6,12 +6,16 @@ path length / expected path length). A family's threshold is the one that best s
 labelled bad rows that earlier families leave, among those which lose at most `lost` of the good rows; a family without
 such a threshold rejects nothing. A document is kept if no base rule fails and no family's anomaly exceeds its threshold.
 
-The forests are fitted on at most `fit_rows` labelled documents, those with the least hash of their id, which is the
-one bounded sample here; statistics, scores and verdicts cover every document and the whole of its text.
-
-Defined results: null text has no words and fails the base rules; repeated rows are judged each; with no labelled rows
-of both kinds the forests reject nothing; an empty table gives no rows; other columns are passed through by
-filter_documents() and ignored by score().
+The trees are grown on at most `fit_rows` labelled documents, those with the least hash of their id, which is the one
+bounded sample here; thresholds are calibrated on all labelled documents, and statistics, scores and verdicts cover every
+document and the whole of its text. Anomalies are rounded to four places, so that counts by value, of which there are
+10,001 at most, are all that calibration needs.
+
+Defined results: null and empty texts have no words and fail the base rules; texts of any length are read whole, one at a
+time; repeated rows are judged each; a document with several labels counts as bad if one of them says so; documents that
+share an id share its label; of equally good thresholds the least is taken, and an anomaly equal to the threshold is
+kept; with no labelled rows of both kinds the forests reject nothing; an empty table gives no rows; other columns,
+whatever their names, are passed through by filter_documents() and ignored by score().
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from purselight.llm.common import binaries, blocks, map_batches
+from purselight.llm.common import binaries, blocks, cut, map_batches
+from purselight.llm.url_bloom import maybe
 
 #: Symbols of the base rule, bytes of white space, and marks that shouting texts use.
 SYMBOLS, SPACE, MARKS = b"#*$%&|<>", b" \t\n\x0b\x0c\r", b"!?"
@@ -144,16 +149,22 @@ class Forest:
                 node = at[inner]
                 at[inner] = np.where(x[inner, feature[node]] <= cut[node], low[node], high[node])
             total += cut[at]
-        return 2 ** (-total / len(self.trees) / self.expected)
+        return np.round(2 ** (-total / len(self.trees) / self.expected), 4)
 
 
-def calibrate(good: np.ndarray, bad: np.ndarray, lost: float) -> float:
-    """The anomaly above which rows are rejected: best share of bad rows caught less good rows lost."""
+def calibrate(good: dict[float, int], bad: dict[float, int], lost: float) -> float:
+    """The anomaly above which rows are rejected: best share of bad rows caught less good rows lost. Rows as counts by anomaly."""
     best, at = 0.0, float("inf")
-    for t in np.unique(good) if len(bad) else ():
-        share = float((good > t).mean())
-        if share <= lost and (gain := float((bad > t).mean()) - share) > best:
-            best, at = gain, float(t)
+    n_good, n_bad = (max(1, sum(x.values())) for x in (good, bad))
+    above, caught = 0, 0
+    gains = []
+    for t in sorted({*good, *bad}, reverse=True):
+        if t in good:
+            gains.append((t, above / n_good, caught / n_bad))
+        above, caught = above + good.get(t, 0), caught + bad.get(t, 0)
+    for t, share, hit in reversed(gains):
+        if share <= lost and hit - share > best:
+            best, at = hit - share, t
     return at
 
 
@@ -170,33 +181,49 @@ class Model:
         return (anomalies > limits).any(1) if len(limits) else np.zeros(len(anomalies), bool)
 
 
+def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, good (whether no label says 0), x (FEATURES) of the labelled documents that pass the base rules.
+
+    Documents that a Bloom filter shows to have no label are dropped where they are read; only statistics move.
+    """
+    rows = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") != 0).alias("good"))
+    key = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.col("doc_id").cast("string").alias("id"))
+    near = maybe(key, "id", rows.select(F.col("doc_id").cast("string").alias("url"))).where("maybe").select("doc_id", "text")
+
+    def f(batch: pa.RecordBatch):
+        for a, b in blocks(batch.num_rows, 2000):
+            part = batch.slice(a, b - a)
+            stats, features = zip(*map(statistics, binaries(part, "text")), strict=True)
+            stats = np.array(stats)
+            fine = pa.array(~base_failed(stats[:, 0], stats[:, 4]))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").filter(fine), pa.array(features, pa.list_(pa.float64())).filter(fine)], names=["doc_id", "x"])
+
+    return map_batches(near, f, "doc_id long, x array<double>").join(rows, "doc_id")
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 4096, trees: int = 64, sample: int = 256, lost: float = 0.002, seed: int = 7) -> Model:
-    """Forests and thresholds from at most fit_rows labelled documents that pass the base rules."""
-    rows = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(rows), "doc_id")  # fit_rows rows at most
+    """Forests grown on fit_rows labelled documents at most that pass the base rules, thresholds from all of those."""
+    rows = cut(labelled_features(docs, labels), "labelled")
+    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(fit_rows).collect()
+    kinds = {r.good for r in rows.groupBy("good").count().collect()}
+    if kinds != {True, False}:
+        return Model({})
+    x = np.array([r.x for r in sorted(got)])
+    model = Model({name: Forest.fit(x, [FEATURES.index(c) for c in columns], trees, sample, seed) for name, columns in FAMILIES.items()})
+    names = list(FAMILIES)
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        stats, features = zip(*map(statistics, binaries(batch, "text")), strict=True)
-        stats, kept = np.array(stats), np.array(features)
-        fine = ~base_failed(stats[:, 0], stats[:, 4])
-        cols = [pa.array(np.asarray(batch.column(c).to_pylist())[fine], pa.int64()) for c in ("doc_id", "quality")]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(kept[fine].tolist(), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
-
-    got = sorted((r.doc_id, r.quality, tuple(r.x)) for r in map_batches(texts, f, "doc_id long, quality long, x array<double>").collect())
-    y = np.array([q for _, q, _ in got])
-    if not (len(y) and (y == 0).any() and (y != 0).any()):
-        return Model({})
-    x = np.array([v for *_, v in got])
-    forests, left = {}, np.ones(len(y), bool)
-    for name, columns in FAMILIES.items():
-        forest = Forest.fit(x, [FEATURES.index(c) for c in columns], trees, sample, seed)
-        anomaly = forest.anomaly(x)
-        # Only bad rows that no earlier family rejects count for a family: it should lose good rows for nothing less.
-        forest.threshold = calibrate(anomaly[left & (y != 0)], anomaly[left & (y == 0)], lost)
-        left &= anomaly <= forest.threshold
-        forests[name] = forest
-    return Model(forests)
+        anomalies = model.anomalies(np.array(batch.column("x").to_pylist()))
+        return pa.RecordBatch.from_arrays([batch.column("good"), *(pa.array(c) for c in anomalies.T)], names=["good", *names])
+
+    scored = cut(map_batches(rows.select("good", "x"), f, "good boolean, " + ", ".join(f"{c} double" for c in names)), "scored")
+    for name, forest in model.forests.items():
+        # Only rows that no earlier family rejects count for a family: it should lose good rows for nothing less.
+        counts = scored.groupBy("good", name).count().collect()
+        good, bad = ({r[name]: r["count"] for r in counts if r.good is kind} for kind in (True, False))
+        forest.threshold = calibrate(good, bad, lost)
+        scored = scored.where(F.col(name) <= forest.threshold)
+    return model
 
 
 def judge(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -72,3 +72,13 @@ def test_layouts(spark):
     assert got == {i: w for i, w in enumerate(want) if w}
     assert {(r.layout, r.records) for r in cs.layouts(df).collect()} >= {("messages", 1), ("instruction", 1), (None, 2)} - {(None, 2)}
     assert cs.fingerprint({"b", "a"}) == cs.fingerprint(("a", "b")) != cs.fingerprint(("a",))
+
+
+def test_deep_and_broken_records(spark):
+    deep = '{"prompt": "p", "completion": "c", "more": ' + '{"a": [' * 400 + "1" + "]}" * 400 + "}"
+    deeper = "[" * 200_000 + "]" * 200_000
+    rows = [(1, 0, deep), (2, 0, deeper), (3, 0, "{"), (4, 0, None), (5, 0, '{"messages": []}'), (6, 0, '{"role": "user", "text": ' + "[" * 5000 + "]" * 5000 + "}")]
+    got = cs.canonical_turns(spark.createDataFrame(rows, "conv_id long, turn long, record string")).collect()
+    assert [(r.role, r.text) for r in got if r.conv_id == 1] == [("user", "p"), ("assistant", "c")]
+    assert not [r for r in got if r.conv_id in (2, 3, 4)]
+    assert cs.paths({"a": [], "b": [[{}], [1]], "c": {"d": [{"e": 1}, 2]}}) == {"a[]", "b[][]", "c.d[].e", "c.d[]"}
