@@ -75,7 +75,10 @@ class Notice:
 
 
     def ends(self, line: str, a: int, b: int) -> list[list[int]]:
-        """Runs [first, last, least errors] of the places in a..b at which an alignment with line[a:b] within the errors ends."""
+        """Runs [first, last, least errors] of the places in a..b at which an alignment with line[a:b] within the errors ends.
+
+        Ends as close as one occurrence may have are one run.
+        """
         m, places, most = len(self.text), self.places, self.errors
         every, top = (1 << m) - 1, 1 << (m - 1)
         up, down, distance = every, 0, m  # differences along a column of the distance matrix
@@ -91,7 +94,7 @@ class Notice:
             rise <<= 1
             up, down = (fall << 1 | ~(rise | diagonal)) & every, rise & diagonal & every
             if distance <= most:
-                if out and out[-1][1] == at:
+                if out and at - out[-1][1] <= 2 * most:
                     out[-1][1:] = at + 1, min(out[-1][2], distance)
                 else:
                     out.append([at + 1, at + 1, distance])
