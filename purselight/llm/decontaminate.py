@@ -19,7 +19,8 @@ and every block meets all documents. Documents never move.
 
 Defined results: null and empty texts and items match nothing; an item of one word is in all documents that hold it;
 repeated items with one id count as one (the best score); repeated documents give rows each; ties go to the
-first stretch; an empty table gives no rows.
+first stretch; texts of any length are searched whole, one at a time; an empty table gives no rows; other columns,
+whatever their names, are not read, and pass through filter_documents().
 """
 
 from __future__ import annotations

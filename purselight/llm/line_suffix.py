@@ -14,8 +14,8 @@ at most min_words lines, which bounds the rounds. The first occurrence of a wind
 stays; the lines of all later ones are deleted. So all later copies of every maximal repeated run go.
 
 Defined results: documents are ordered by doc_id, nulls first, then by a hash of the text; null text has no lines and
-stays null; rows that repeat doc_id and text count as one document and lose the same lines; lines without a word are
-never deleted on their own, nor counted; an empty table gives no rows; other columns pass through unchanged (n_chars is
+stays null, empty text stays empty; texts of any length are read whole; rows that repeat doc_id and text count as one document and lose the same lines; lines without a word are
+never deleted on their own, nor counted; of equal runs the first in that order stays; an empty table gives no rows; other columns pass through unchanged (n_chars is
 set to the new length where it exists and its text changed).
 """
 

@@ -6,7 +6,8 @@ longer list only lets more URLs pass it. URLs that pass go to an exact join with
 positives. The passing side is salted in that join, as one URL may hold many rows.
 
 Defined results: a null url or one without `://` has empty host and path, fits no rule and is allowed; empty and null
-list entries are ignored; repeated pages are judged each; an empty table gives no rows.
+list entries are ignored; urls of any length are judged whole; of rules that fit equally long the first in order of text
+holds; repeated pages are judged each; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ the others are revisits of it; smaller payloads are all responses.
 
 Defined results: null html is an empty payload; null url is written as an empty target; rows with equal page_id and
 payload are alike (both responses if that page_id is the smallest); a null page_id never is the smallest unless all
-are null, and then all are responses; an empty table gives no records.
+are null, and then all are responses; empty and repeated payloads are records like others; payloads of any length are
+archived whole, chunk by chunk; an empty table gives no records; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
