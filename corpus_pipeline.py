@@ -8,6 +8,12 @@ returns a DataFrame; all but the last return the columns of documents:
 3. MinHash near-dedup: of each group of near-duplicates the document with the least doc_id stays;
 4. benchmark decontamination: documents that hold a benchmark item, also edited, go;
 5. best-fit packing: the pieces of what is left, with sequence and offset.
+
+Defined results: null and empty texts go in stage 1, as they have less than 50 words; very long texts pass every stage
+whole; rows with a null doc_id are judged like others in stages 1, 2 and 4, but stay in stage 3, as no id tells them
+apart; repeated rows stay or go together in stages 1, 3 and 4 and lose the same lines in stage 2; ties are settled as
+the operators say; an empty table gives an empty result; further columns of documents pass through the first four
+stages, whatever their names, and are not in the result of the last.
 """
 
 from __future__ import annotations
