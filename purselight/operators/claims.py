@@ -38,26 +38,22 @@ def raw_answers(answers: DataFrame, errors: int = 3) -> DataFrame:
     return rows.select("customer_id", F.col("x.predicted_raw").alias("raw_answers"), F.slice(F.filter(F.col("x.error"), lambda e: e.isNotNull() & (e != "")), 1, errors).alias("errors"))
 
 
-def unique_claims(claims: Column) -> Column:
-    """Claims without repetitions that differ in case only; the first spelling stays.
+def unique_claims(rows: DataFrame, column: str = "claims") -> DataFrame:
+    """rows, with no claims in the array `column` that differ from an earlier one in case only.
 
-    One pass that carries the lower-case forms seen: an expression over the whole array would be evaluated anew for
-    each element.
+    Claims are sorted by their lower-case form and place, so that each is compared with the one before it only; the
+    sorted array is a column of its own, as an expression inside a lambda would be evaluated anew for each element.
     """
-    pairs = F.transform(claims, lambda x: F.struct(F.lower(x).alias("low"), x.alias("claim")))
-    none = F.array().cast("array<string>")
-
-    def add(seen: Column, x: Column) -> Column:
-        more = F.struct(F.array_append(seen["low"], x["low"]).alias("low"), F.array_append(seen["claims"], x["claim"]).alias("claims"))
-        return F.when(F.array_contains(seen["low"], x["low"]), seen).otherwise(more)
-
-    return F.aggregate(pairs, F.struct(none.alias("low"), none.alias("claims")), add, lambda seen: seen["claims"])
+    held = rows.withColumn("_sorted", F.array_sort(F.transform(column, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("at"), x.alias("claim")))))
+    first = F.filter("_sorted", lambda x, i: (i == 0) | ~F.get(F.col("_sorted"), i - 1)["low"].eqNullSafe(x["low"]))
+    order = F.array_sort(F.transform(first, lambda x: F.struct(x["at"].alias("at"), x["claim"].alias("claim"))))
+    return held.withColumn(column, F.transform(order, lambda x: x["claim"])).drop("_sorted")
 
 
 def merge_claims(rows: DataFrame) -> DataFrame:
     """Claims (array) of all samples of a client in order of sample, without repetitions."""
     merged = rows.groupBy("customer_id").agg(F.min("label").alias("label"), F.array_sort(F.collect_list(F.struct("sample_id", "claims"))).alias("x"))
-    return merged.select("customer_id", "label", unique_claims(F.flatten("x.claims")).alias("claims"))
+    return unique_claims(merged.select("customer_id", "label", F.flatten("x.claims").alias("claims")))
 
 
 def flatten_claims(rows: DataFrame, cyrillic_only: bool = False, labelled_only: bool = False) -> DataFrame:

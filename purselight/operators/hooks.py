@@ -35,11 +35,13 @@ async def ask_with_retry(ask: Ask, messages: list[dict], tries: int, pause: floa
     return "", "no attempt was made"
 
 
-def complete(rows: DataFrame, client: Callable[[], Ask], concurrent: int = 16, partitions: int = 4, tries: int = 3, pause: float = 2.0) -> DataFrame:
+def complete(rows: DataFrame, client: Callable[[], Ask], concurrent: int = 16, partitions: int = 4, tries: int = 3, pause: float = 2.0, raise_on_error: bool = False) -> DataFrame:
     """rows with explanation, execution_time and error of sending column messages to the client, made once in each task.
 
-    At most `concurrent` calls are under way over all partitions.
+    At most `concurrent` calls are under way over all partitions, of which there are no more than that. A call that
+    fails for good gives a row with its error; with raise_on_error it fails the job.
     """
+    partitions = max(1, min(partitions, concurrent))
     each = max(1, concurrent // partitions)
     columns = rows.columns
     packed = rows.repartition(partitions).select(*columns, F.to_json("messages").alias("_messages"))
@@ -57,6 +59,8 @@ def complete(rows: DataFrame, client: Callable[[], Ask], concurrent: int = 16, p
                 async with gate:
                     start = time.monotonic()
                     answer, error = await ask_with_retry(ask, json.loads(prompt), tries, pause)
+                    if error is not None and raise_on_error:
+                        raise RuntimeError(error)
                     return answer, time.monotonic() - start, error
 
             return await asyncio.gather(*(one(p) for p in prompts))

@@ -43,9 +43,17 @@ def leakage(splits: DataFrame) -> DataFrame:
 
 
 def capped(clients: DataFrame, most: int, n_labels: int, seed: int = 42) -> DataFrame:
-    """`most` clients: an equal number of each label first, then others by hash rank."""
+    """`most` clients: an equal number of each label first, then others by hash rank.
+
+    Only the first `most` clients of each label by hash can be among them. They are ranked within hash prefixes, whose
+    sizes are summed before, so that no task sorts all clients of a label.
+    """
     each = max(1, most // max(n_labels, 1))
-    ranked = clients.withColumn("draw", draw(seed=seed)).withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("draw", "customer_id")))
+    rows = clients.withColumn("draw", draw(seed=seed)).withColumn("prefix", F.substring("draw", 1, 4))
+    before = Window.partitionBy("label").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)  # 65,536 rows a label
+    sizes = rows.groupBy("label", "prefix").agg(F.count("*").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    near = rows.join(sizes.where(F.col("before") < most).withColumnRenamed("label", "of"), (F.col("label").eqNullSafe(F.col("of"))) & (rows["prefix"] == sizes["prefix"])).drop("of", "size").drop(sizes["prefix"])
+    ranked = near.withColumn("k", F.col("before") + F.row_number().over(Window.partitionBy("label", "prefix").orderBy("draw", "customer_id")))
     return ranked.orderBy(F.when(F.col("k") <= each, 0).otherwise(1), "draw", "customer_id").limit(most).select(*clients.columns)
 
 

@@ -69,9 +69,12 @@ def summary_text(trx: DataFrame, label_names: dict[str, str], category_label: st
 
 
 def split_report(trx: DataFrame) -> DataFrame:
-    """split, rows, clients, min_date, max_date, positive_rate (mean label of clients)."""
+    """split, rows, clients, min_date, max_date, positive_rate (mean label of clients), label_counts (label -> clients)."""
     clients = trx.groupBy("split", "customer_id").agg(F.count("*").alias("n"), F.min("tr_datetime").alias("lo"), F.max("tr_datetime").alias("hi"), profile.label().alias("label"))
-    return clients.groupBy("split").agg(F.sum("n").alias("rows"), F.count("*").alias("clients"), F.min("lo").alias("min_date"), F.max("hi").alias("max_date"), (F.sum("label") / F.count("label")).alias("positive_rate"))
+    totals = clients.groupBy("split").agg(F.sum("n").alias("rows"), F.count("*").alias("clients"), F.min("lo").alias("min_date"), F.max("hi").alias("max_date"), (F.sum("label") / F.count("label")).alias("positive_rate"))
+    counts = clients.where("label is not null").groupBy("split", "label").agg(F.count("*").alias("n")).groupBy("split")
+    counts = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("label_counts"))
+    return totals.join(counts, "split", "left")
 
 
 def class_counts(trx: DataFrame) -> DataFrame:

@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from purselight.functions import numbers
+from purselight.plans.scratch import written
 
 
 def _blocks(df: DataFrame, size: int) -> tuple[DataFrame, int]:
@@ -79,8 +82,7 @@ def cluster_spread(rows: DataFrame, n_labels: int, min_diff: float = 0.02, min_s
 
 def centroids(rows: DataFrame) -> DataFrame:
     """cluster, centroid (mean, put to length 1). rows: cluster, v."""
-    dims = rows.where("cluster >= 0").select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    mean = dims.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p")).select("cluster", F.col("p.x").alias("v"))
+    mean = rows.where("cluster >= 0").groupBy("cluster").agg(Summarizer.mean(array_to_vector(F.col("v").cast("array<double>"))).alias("v")).select("cluster", vector_to_array("v").alias("v"))
     return mean.select("cluster", numbers.unit(F.col("v")).alias("centroid"))
 
 
@@ -133,7 +135,7 @@ def tfidf(docs: DataFrame, features: int = 384, pattern: str = r"(?u)\b\w\w+\b")
     Of equally frequent terms the first in order of text are taken.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(pattern.replace("(?u)", "(?U)")), F.lit(0))
-    counts = docs.select("id", F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    counts = written(docs.select("id", F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")), "counts")
     stats = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(features)
     n = docs.agg(F.count("*").alias("n"))
     idf = stats.crossJoin(n).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row

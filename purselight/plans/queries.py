@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from purselight.functions import numbers, text
 from purselight.operators import claims, clustering, features, hooks, metrics, models, pivot, profile, splits, summary, vectors
+from purselight.plans import scratch
 from purselight.schema import Settings
+from purselight.sources import files, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,6 +77,20 @@ def rounded(df: DataFrame, places: dict[str, int]) -> DataFrame:
     return df.withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
+# --- files ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""with {TRX_O} select customer_id, tr_datetime::date as day, amount::double as amount, mcc_code_desc, label::int as label, currency_name, trx_cat_ru, '"' || o_orderkey || '", ' || chr(10) || 'x' as mcc_desc from trx""")
+def csv_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A split with all optional columns, in an order of its own, written as CSV and read by name."""
+    note = F.concat(F.lit('"'), F.col("o_orderkey").cast("string"), F.lit('", \nx'))
+    rows = trx_o(spark, sf_dir).select(F.col("label").alias("target"), "currency_name", note.alias("mcc_desc"), "mcc_code_desc", F.col("tr_datetime").cast("string").alias("when"), "trx_cat_ru", "amount", F.col("customer_id").alias("cl_id"))
+    path = scratch.new_path(spark, "split")
+    sinks.write_csv(rows, path)
+    read = files.read_transactions(spark, path, Settings(columns={"customer_id": "cl_id", "datetime": "when", "label": "target"}))
+    return read.withColumn("day", F.to_date("tr_datetime")).drop("tr_datetime")
+
+
 # --- preparation and calendar -------------------------------------------------------------------------------------
 
 
@@ -321,10 +337,11 @@ def plain_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign(_clients(spark, sf_dir), by=None)
 
 
-@query(f"with {SPLIT} select split, count(*) as rows, count(distinct customer_id) as clients, min(tr_datetime)::date as min_date, max(tr_datetime)::date as max_date, (select sum(label) / count(*) from split s where s.split = split.split) as positive_rate from trx join split using (customer_id) group by split")
+@query(f"with {SPLIT} select split, count(*) as rows, count(distinct customer_id) as clients, min(tr_datetime)::date as min_date, max(tr_datetime)::date as max_date, (select sum(label) / count(*) from split s where s.split = split.split) as positive_rate, (select string_agg(l || ':' || n, ',' order by l) from (select label as l, count(*) as n from split s where s.split = split.split group by 1)) as label_counts from trx join split using (customer_id) group by split")
 def split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = trx_o(spark, sf_dir).join(splits.assign(_clients(spark, sf_dir)).select("customer_id", "split"), "customer_id")
-    return summary.split_report(rows).withColumns({c: F.to_date(c) for c in ("min_date", "max_date")})
+    pairs = F.transform(F.array_sort(F.map_entries("label_counts")), lambda x: F.concat(x["key"].cast("string"), F.lit(":"), x["value"].cast("string")))
+    return summary.split_report(rows).withColumns({c: F.to_date(c) for c in ("min_date", "max_date")}).withColumn("label_counts", F.array_join(pairs, ","))
 
 
 @query(f"with {SPLIT} select 'semi' as part, count(*) as n, sum(amount)::double as total from trx where customer_id in (select customer_id from split where split = 'train') union all select 'anti', count(*), sum(amount)::double from trx where customer_id not in (select customer_id from split where split = 'train')")
@@ -388,7 +405,7 @@ def json_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     from (select conv_id, turn, string_split(text || ' ' || translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ' ') as a from conversations))""")
 def claim_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.split(F.concat("text", F.lit(" "), F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")), " ", -1)
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", claims.unique_claims(parts).alias("u"))
+    rows = claims.unique_claims(table(spark, sf_dir, "conversations").select("conv_id", "turn", parts.alias("u")), "u")
     return rows.select("conv_id", "turn", F.size("u").alias("n"), F.array_join("u", "|").alias("claims"))
 
 
@@ -559,11 +576,11 @@ def cluster_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.cluster_meta(rows).select("cluster", "size", F.array_join(pairs, ",").alias("label_counts"), F.array_join("examples", "|").alias("examples"))
 
 
-@query(r"""with c as (select doc_id as id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-z]{2,}')) as term from documents) group by 1, 2), t as (select term, sum(tf) as total, count(*) as df from c group by 1 order by total desc, term limit 50),
+@query(r"""with c as (select doc_id as id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) as term from documents) group by 1, 2), t as (select term, sum(tf) as total, count(*) as df from c group by 1 order by total desc, term limit 384),
 w as (select id, term, tf * (ln((1 + (select count(*) from documents)) / (1 + df)) + 1) as w from c join t using (term)) select id, term, round(w / sqrt(sum(w * w) over (partition by id)), 6) as weight from w""")
 def tfidf_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return rounded(vectors.tfidf(docs, 50, "[0-9a-z]{2,}"), {"weight": 6})
+    return rounded(vectors.tfidf(docs, 384, r"[\p{L}\p{N}_]{2,}"), {"weight": 6})
 
 
 @query()
@@ -583,7 +600,8 @@ def dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.project(_vectors(spark, sf_dir), 8).select("id", F.size("v").alias("n"))
+    """Principal components; their signs are free, so values go without."""
+    return clustering.project(_vectors(spark, sf_dir), 8).select("id", F.transform("v", lambda x: F.round(F.abs(x), 4)).alias("v"))
 
 
 # --- models and texts ---------------------------------------------------------------------------------------------
@@ -599,7 +617,7 @@ def _model_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 @query()
 def gbt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _model_rows(spark, sf_dir)
-    return models.boosted(train, iterations=5).predict(test)
+    return models.boosted(train).predict(test)
 
 
 @query()

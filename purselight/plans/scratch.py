@@ -16,22 +16,29 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         where = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="purselight-")
     return where.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: what follows does not depend on lost executors."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used."""
     top = f"{shared_dir(spark)}/purselight-plans-{spark.sparkContext.applicationId}"
     if top not in _TOPS and top.startswith(("file:", "/")):
         _TOPS.add(top)
         atexit.register(shutil.rmtree, top.removeprefix("file:").replace("//", "/"), ignore_errors=True)
-    path = f"{top}/{name}-{uuid.uuid4().hex}"
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: what follows does not depend on lost executors."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
