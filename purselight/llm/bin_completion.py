@@ -13,6 +13,7 @@ the text are not read, whatever their names. The result does not depend on parti
 from __future__ import annotations
 
 import bisect
+import itertools
 import json
 import logging
 import zlib
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -203,9 +205,9 @@ def fillings(counts: dict[int, int], lengths: Sequence[int], space: int, steps:
 
 @dataclass(frozen=True)
 class Node:
-    """A partial packing: the pieces left, bins used, their waste, and the pattern last placed on top of a parent."""
+    """A partial packing: how many pieces of each length are left, bins used, their waste, and the pattern placed last on a parent's."""
 
-    counts: dict[int, int]
+    left: np.ndarray
     used: int = 0
     waste: int = 0
     parent: Node | None = None
@@ -236,15 +238,21 @@ def plan(counts: dict[int, int], capacity: int, steps: int = 2000, effort: int =
     best = best_fit(counts, capacity)
     bins, least, total = sum(n for n, _ in best), lower_bound(counts, capacity), sum(k * n for k, n in counts.items())
     spent, complete = 0, True
-    seen: dict[frozenset, int] = {}
+    kinds = sorted(counts)
+    place = {k: i for i, k in enumerate(kinds)}
+    seen: dict[bytes, int] = {}
+
+    def remaining(node: Node) -> dict[int, int]:
+        return {kinds[i]: int(node.left[i]) for i in np.nonzero(node.left)[0]}
 
     def hopeless(node: Node) -> bool:
-        return node.waste > (bins - 1) * capacity - total or node.used + lower_bound(node.counts, capacity) >= bins
+        return node.waste > (bins - 1) * capacity - total or node.used + lower_bound(remaining(node), capacity) >= bins
 
     def children(node: Node) -> Iterator[Node]:
         nonlocal spent, complete
-        top = max(node.counts)
-        rest = node.counts | {top: node.counts[top] - 1}
+        counts = remaining(node)
+        top = max(counts)
+        rest = counts | {top: counts[top] - 1}
         lengths = sorted((k for k, n in rest.items() if n and k <= capacity - top), reverse=True)
         found, taken = fillings(rest, lengths, capacity - top, steps)
         spent, complete = spent + taken, complete and taken < steps
@@ -253,28 +261,36 @@ def plan(counts: dict[int, int], capacity: int, steps: int = 2000, effort: int =
                 return  # as all that follow waste as much or more
             content = dict(items)
             content[top] = content.get(top, 0) + 1
-            times = min(node.counts[k] // per for k, per in content.items())
+            times = min(counts[k] // per for k, per in content.items())
             pattern = tuple(sorted(content.items(), reverse=True))
             while times:
-                after = {k: n for k, n in ((k, n - times * content.get(k, 0)) for k, n in node.counts.items()) if n}
-                spent += 1 + len(after) // 16  # what a child costs, in steps
-                yield Node(after, node.used + times, node.waste + times * slack, node, (times, pattern))
+                left = node.left.copy()
+                for k, per in pattern:
+                    left[place[k]] -= times * per
+                spent += 1 + len(kinds) // 16  # what a child costs, in steps
+                yield Node(left, node.used + times, node.waste + times * slack, node, (times, pattern))
                 times //= 2
 
-    stack = [children(Node(counts))] if counts else []
-    while stack and bins > least and spent < effort:
-        node = next(stack[-1], None)
+    # The path from the root as (node, children tried); only the last one's fillings are held, others are made anew.
+    path = [[Node(np.array([counts[k] for k in kinds], np.int64)), 0]] if counts else []
+    branch = children(path[-1][0]) if path else None
+    while path and bins > least and spent < effort:
+        node = next(branch, None)
         if node is None:
-            stack.pop()
-        elif not node.counts:
+            path.pop()
+            branch = itertools.islice(children(path[-1][0]), path[-1][1], None) if path else None
+            continue
+        path[-1][1] += 1
+        if not node.left.any():
             if node.used < bins:
                 best, bins = node.patterns(), node.used
         elif not hopeless(node):
-            key = frozenset(node.counts.items())
+            key = xxhash.xxh3_128_digest(node.left.tobytes())
             if node.used < seen.get(key, bins):
                 seen[key] = node.used
-                stack.append(children(node))
-    if bins > least and not (complete and not stack):
+                path.append([node, 0])
+                branch = children(node)
+    if bins > least and not (complete and not path):
         _LOG.warning("packing search ended by its effort: %d sequences, lower bound %d", bins, least)
     return best
 
