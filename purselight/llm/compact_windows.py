@@ -34,6 +34,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -311,6 +312,7 @@ def cut_out(docs: DataFrame, wanted: DataFrame, most: int = 500) -> DataFrame:
 
     Documents without a stretch are dropped where they are read, by a Bloom filter. The stretches of a document come in
     groups of about `most`, each with the text once, so that a document many others share does not send it with each.
+    Rows may share an id (null counts as one): a stretch that begins beyond a row's text is none of that row.
     """
     keys = [c for c in wanted.columns if c not in ("doc", "from", "to")]
     ids = wanted.select(F.col("doc").cast("string").alias("url")).distinct()
@@ -327,6 +329,7 @@ def cut_out(docs: DataFrame, wanted: DataFrame, most: int = 500) -> DataFrame:
                 part = x.values
                 for lo, hi in blocks(len(part), most):
                     some_ = part.slice(lo, hi - lo)
+                    some_ = some_.filter(pa.compute.less(some_.field("from"), len(t)))
                     out = [t[a : b + 1].tobytes() for a, b in zip(some_.field("from").to_pylist(), some_.field("to").to_pylist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([*(some_.field(c) for c in keys), pa.array(out, pa.binary())], names=[*keys, "shingles"])
 
@@ -417,24 +420,29 @@ def search(a: np.ndarray, b: np.ndarray, width: int, percent: int, todo: list[tu
 
 
 def verified(docs: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b, a_from, a_to, b_from, b_to (words, ends excluded), similarity of the passages in candidate regions."""
+    """a, b, a_from, a_to, b_from, b_to (words, ends excluded), similarity of the passages in candidate regions.
+
+    Where rows share an id, each of their texts is tried.
+    """
     keys = ["a", "b", "a_from", "b_from"]
     side = lambda d, k: found.select(F.col(d).alias("doc"), F.col(f"{d}_from").alias("from"), F.col(f"{d}_to").alias("to"), *keys, F.lit(k).alias("side"))
     both = cut_out(docs, side("b", 0).unionByName(side("a", 1)))
     names = ["a", "b", "a_from", "a_to", "b_from", "b_to", "similarity"]
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, other = None, None
+        now, others = None, set()
         for batch in batches:
             out = []
             for *key, k, raw in zip(*(batch.column(c) for c in (*keys, "side", "shingles")), strict=True):
                 key = tuple(x.as_py() for x in key)
-                t = np.frombuffer(raw.as_py(), np.uint32)
+                if key != now:
+                    now, others = key, set()
                 if k.as_py() == 0:
-                    now, other = key, t
-                elif key == now:
-                    a, b, a0, b0 = key
-                    out += [(a, b, a0 + x0, a0 + x1 + SHINGLE - 1, b0 + y0, b0 + y1 + SHINGLE - 1, s) for x0, x1, y0, y1, s in passages(t, other, width, percent)]
+                    others.add(raw.as_py())
+                    continue
+                t, (a, b, a0, b0) = np.frombuffer(raw.as_py(), np.uint32), key
+                for other in others:
+                    out += [(a, b, a0 + x0, a0 + x1 + SHINGLE - 1, b0 + y0, b0 + y1 + SHINGLE - 1, s) for x0, x1, y0, y1, s in passages(t, np.frombuffer(other, np.uint32), width, percent)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64() if c == "similarity" else pa.int64()) for c, v in zip(names, zip(*out, strict=True), strict=True)], names=names)
 
@@ -600,7 +608,7 @@ def across(docs: DataFrame, shared: DataFrame, classes: DataFrame, width: int, p
     c = F.col("first.c")
     before, after = (F.least(F.shiftright("first.ext", k).bitwiseAND(F.lit(REACH)), F.lit(2 * width)).cast("int") for k in (44, 24))
     wanted = reps.select(F.col("first.doc").alias("doc"), (c - before).alias("from"), (c + after).alias("to"), before.alias("at"), "side", "label", *(F.col(f"first.{x}").alias(f"first_{x}") for x in ("doc", "c", "ext")))
-    windows = cut_out(docs, wanted)
+    windows = cut_out(docs, wanted).where(F.length("shingles") > 4 * F.col("at"))  # c lies in the text
     numbers = ["label", "at", "first_doc", "first_c", "first_ext"]
     names = ["a", "b", "a_from", "a_to", "b_from", "hashes"]
     kinds = [np.int64, np.int64, np.int32, np.int32, np.int32, np.int32]
