@@ -42,8 +42,8 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector over its length; a zero vector stays."""
-    size = norm(a)
-    return F.transform(a, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(x.cast("double")))
+    over = lambda size: F.transform(a, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(x.cast("double")))
+    return F.get(F.transform(F.array(norm(a)), over), F.lit(0))  # so that the length is computed once, not for each element
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

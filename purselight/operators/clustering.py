@@ -6,55 +6,215 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from purselight.functions import numbers
 from purselight.operators import vectors
 from purselight.plans.scratch import components, written
 
 
+#: Clusters that one task takes in any case, and those it takes once a round joins less than a twentieth of them.
+FEW, MANY = 16_384, 200_000
+_TILE = 512
+
+
+def _means(rows: pd.DataFrame) -> np.ndarray:
+    """The mean vector of each cluster. rows: s (sum of its unit vectors), n."""
+    v = np.stack(rows.s).astype(float) / rows.n.to_numpy()[:, None]
+    if not np.isfinite(v).all():
+        raise ValueError("a vector that is not finite")
+    return v
+
+
+def linkage(v: np.ndarray, size: np.ndarray, height: np.ndarray, threshold: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merges (node, the lesser node it joins, height) of clusters with means v, in an order in which heights of one cluster rise.
+
+    The mean distance of two clusters is 1 less the product of their means, so no matrix of distances is kept. A merge brings
+    no cluster closer to a third than the closer of its parts was. So clusters that are nearest to each other may merge in any
+    order, a neighbour holds until it merges itself, and the next best distance of a search (`second`) stays a lower bound
+    for all other clusters: where the merged neighbour is within it, no search is needed. Distances that differ by rounding
+    count as equal there.
+    """
+    n, dim = v.shape
+    right = np.hstack([v, np.zeros((n, 1))])  # the last column puts merged clusters out of reach
+    size, height, label, live = size.astype(float), height.astype(float), np.arange(n), np.ones(n, bool)
+    near, dist, second = np.zeros(n, int), np.zeros(n), np.zeros(n)
+
+    def search(todo: np.ndarray) -> None:
+        for x in range(0, len(todo), _TILE):
+            rows = todo[x : x + _TILE]
+            left = right[rows]
+            left[:, -1] = 1
+            best, other, where = np.full(len(rows), -9.0), np.full(len(rows), -9.0), np.zeros(len(rows), int)
+            for y in range(0, len(right), _TILE):
+                t = left @ right[y : y + _TILE].T
+                own = np.nonzero((rows >= y) & (rows < y + _TILE))[0]
+                t[own, rows[own] - y] = -9
+                better = np.nonzero(t.max(1) > other)[0]
+                t = t[better]
+                at, k = t.argmax(1), np.arange(len(better))
+                first = t[k, at]
+                t[k, at] = -9
+                won = first > best[better]
+                other[better] = np.maximum(np.where(won, best[better], first), t.max(1))
+                where[better[won]], best[better[won]] = at[won] + y, first[won]
+            near[rows], dist[rows], second[rows] = where, 1 - best, 1 - other
+
+    todo, out = np.arange(n), []
+    while live.sum() > 1:
+        search(todo)
+        i = np.arange(len(live))
+        below = live if threshold is None else live & (dist < threshold)
+        a = i[below & (near[near] == i) & (i < near)]
+        b = near[a]
+        if not len(a):  # neighbours at equal distances, but for rounding, may point in a ring
+            if not below.any():
+                break
+            k = i[below][dist[below].argmin()]
+            a, b = np.array([min(k, near[k])]), np.array([max(k, near[k])])
+        h = np.maximum(dist[a], np.maximum(height[a], height[b]))
+        out.append((label[b], label[a], h))
+        total = size[a] + size[b]
+        right[a, :dim] = (right[a, :dim] * size[a, None] + right[b, :dim] * size[b, None]) / total[:, None]
+        size[a], height[a], live[b], right[b, -1] = total, h, False, -4
+        into, again = i.copy(), np.zeros(len(live), bool)
+        into[b], again[a] = a, True
+        touched = ~live | again
+        moved = i[live & ~again & touched[near]]
+        near[moved] = into[near[moved]]
+        d = 1 - np.einsum("ij,ij->i", right[moved, :dim], right[near[moved], :dim])
+        again[moved] = d > second[moved] + 1e-12
+        dist[moved] = d
+        stay = live if threshold is None else live & (again | (dist < threshold))
+        if stay.sum() < 0.9 * len(stay):
+            place = np.where(stay, np.cumsum(stay) - 1, 0)
+            again |= ~stay[near]
+            right, size, height, label, dist, second, again = right[stay], size[stay], height[stay], label[stay], dist[stay], second[stay], again[stay]
+            near, live = place[near[stay]], np.ones(len(label), bool)
+        todo = np.nonzero(again & live)[0]
+    if not out:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def average_linkage(v: np.ndarray, threshold: float | None = None, k: int | None = None) -> np.ndarray:
     """Cluster numbers of unit vectors: the closest two clusters merge while their mean distance is below threshold, or more than k remain."""
     n = len(v)
-    d = 1 - v @ v.T
-    np.fill_diagonal(d, np.inf)
-    size, alive = np.ones(n), np.ones(n, bool)
+    node, parent, h = linkage(v, np.ones(n), np.zeros(n), threshold)
     owner = np.arange(n)
-    left = n
-    while left > 1 and (k is None or left > k):
-        flat = int(np.argmin(d))
-        i, j = sorted(divmod(flat, n))
-        if threshold is not None and d[i, j] >= threshold:
-            break
-        d[i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[:, i] = d[i]
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        alive[j] = False
-        owner[owner == j] = i
-        left -= 1
+    kept = np.argsort(h, kind="stable")[: None if k is None else max(0, n - max(k, 1))]
+    owner[node[kept]] = parent[kept]
+    while (owner != owner[owner]).any():
+        owner = owner[owner]
     return owner
 
 
-def agglomerative(df: DataFrame, threshold: float = 0.01, most: int = 20_000) -> DataFrame:
-    """id, cluster (least id of it) by average linkage cut at `threshold`. df: id, v.
+def _nearest(active: DataFrame, n: int) -> DataFrame:
+    """c, other, d: the nearest other cluster of each, ties by its number. active: c, s, n; a task holds two blocks of it."""
+    blocks = max(1, min(-(-n // 1024), max(8, -(-n // 16_384))))
+    block = F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = active.select("c", "s", "n", block.alias("block"), other.alias("other"))
+    rows = rows.select("c", "s", "n", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+    def f(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("c", ignore_index=True)
+        v, ids, block = _means(rows), rows.c.to_numpy(), rows.block.to_numpy()
+        left, right = (np.nonzero(block == k)[0] for k in key)
+        same = key[0] == key[1]
+        best, where = np.full(len(v), -9.0), np.full(len(v), -1)
 
-    Two clusters merge at a mean distance below the threshold only if some pair of their members is that close, so each
-    cluster lies within a component of the graph of close pairs, and components are clustered on their own. A component
-    of more than `most` vectors is an error: its distance matrix would not fit a task.
+        def keep(t: np.ndarray, mine: np.ndarray, theirs: np.ndarray, axis: int) -> None:
+            top = t.max(axis)
+            k = np.nonzero(top > best[mine])[0]
+            at = (t[k] if axis else t[:, k]).argmax(axis)
+            best[mine[k]], where[mine[k]] = top[k], theirs[at]
+
+        for x in range(0, len(left), _TILE):
+            for y in range(x if same else 0, len(right), _TILE):
+                a, b = left[x : x + _TILE], right[y : y + _TILE]
+                t = v[a] @ v[b].T
+                if same and x == y:
+                    t[np.tril_indices(len(a))] = -9
+                keep(t, a, b, 1)
+                keep(t, b, a, 0)
+        found = where >= 0
+        return pd.DataFrame({"c": ids[found], "other": ids[where[found]], "d": 1 - best[found]})
+
+    found = rows.groupBy("x", "y").applyInPandas(f, "c long, other long, d double")
+    return found.groupBy("c").agg(F.min(F.struct("d", "other")).alias("near")).select("c", "near.other", "near.d")
+
+
+def _clusters(df: DataFrame, threshold: float | None = None, k: int | None = None) -> DataFrame:
+    """id, cluster (least id of it) by average linkage of all vectors.
+
+    Equal vectors join first, at height 0. Then, in rounds, the clusters that are nearest to each other merge, which gives the
+    tree of merging the closest two each time (see `linkage`); clusters with nothing below the threshold leave. Searches are
+    dealt by pairs of blocks until what is left fits one task, which holds the mean of each cluster, not their distances.
     """
-    df = written(df.select("id", numbers.unit(F.col("v")).alias("v")), "vectors")
-    parts = components(df.select(F.col("id").alias("node")), vectors.close_pairs(df, threshold))
-    rows = df.join(parts.withColumnRenamed("node", "id"), "id")
+    rows = df.select("id", numbers.unit(F.col("v")).alias("s")).orderBy(F.asc_nulls_last("id")).select(F.monotonically_increasing_id().alias("node"), "id", "s")
+    rows = written(rows, "vectors")
+    same = Window.partitionBy("s")
+    copies = F.exists("s", lambda x: x != 0) & F.lit(threshold is None or threshold > 0)  # zero vectors are at distance 1 from all
+    rows = rows.select("node", "id", "s", F.when(copies, F.min("node").over(same)).otherwise(F.col("node")).alias("c"), F.when(copies, F.count("*").over(same)).otherwise(F.lit(1)).alias("n"))
+    rows = written(rows, "copies")
+    schema = "node long, parent long, h double, step int, place long"
+    merges = [rows.where("node <> c").select("node", F.col("c").alias("parent"), F.lit(0.0).alias("h"), F.lit(0).alias("step"), F.col("node").alias("place"))]
+    active = rows.where("node = c").select("c", F.transform("s", lambda x: x * F.col("n")).alias("s"), "n", F.lit(0.0).alias("h"))
+    left, step = active.count(), 0
+    before = joined = left
+    while left > MANY or (left > FEW and joined >= before / 20):
+        before, step = left, step + 1
+        near = written(_nearest(active, left), "near")
+        if threshold is not None:
+            near = near.where(F.col("d") < threshold)
+            active = active.join(near.select("c"), "c", "left_semi")
+        back = near.select(F.col("c").alias("other"), F.col("other").alias("c"))
+        pairs = near.where("c < other").join(back, ["c", "other"]).select("c", "other", "d")
+        found = pairs.select("c", F.col("c").alias("to"), "d").unionByName(pairs.select(F.col("other").alias("c"), F.col("c").alias("to"), "d"))
+        rows_of = active.join(found, "c", "left").groupBy(F.coalesce("to", "c").alias("to")).agg(F.collect_list("s").alias("x"), F.sum("n").alias("n"), F.greatest(F.max("h"), F.max("d")).alias("h"), F.max("c").alias("last"))
+        total = F.when(F.size("x") == 2, F.zip_with(F.get("x", F.lit(0)), F.get("x", F.lit(1)), lambda a, b: a + b)).otherwise(F.get("x", F.lit(0)))
+        new = written(rows_of.select(F.col("to").alias("c"), total.alias("s"), "n", "h", "last"), "clusters")
+        merges.append(new.where("last <> c").select(F.col("last").alias("node"), F.col("c").alias("parent"), "h", F.lit(step).alias("step"), F.col("last").alias("place")))
+        active = new.drop("last")
+        left, joined = new.agg(F.count("*"), F.count_if(F.col("last") != F.col("c"))).first()
+        if not joined:
+            break
 
     def f(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > most:
-            raise ValueError(f"a component of {len(rows)} vectors; lower the threshold")
-        rows = rows.sort_values("id")
-        owner = average_linkage(np.stack(rows.v), threshold)
-        return pd.DataFrame({"id": rows.id, "cluster": rows.id.to_numpy()[owner]})
+        rows = rows.sort_values("c", ignore_index=True)
+        node, parent, h = linkage(_means(rows), rows.n.to_numpy(), rows.h.to_numpy(), threshold)
+        # Merges that surely stay are followed here, so that paths are short below.
+        surely = np.argsort(h, kind="stable")[: None if k is None else max(0, len(h) + 1 - max(k, 1))]
+        to = np.arange(len(rows))
+        to[node[surely]] = parent[surely]
+        while (to != to[to]).any():
+            to = to[to]
+        ids = rows.c.to_numpy()
+        return pd.DataFrame({"node": ids[node], "parent": ids[to[parent]], "h": h, "step": step + 1, "place": np.arange(len(h))})
+
+    merges.append(active.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(f, schema))
+    tree = merges[0]
+    for x in merges[1:]:
+        tree = tree.unionByName(x)
+    tree = written(tree, "merges")
+    if k is not None:
+        tree = tree.join(tree.orderBy(F.desc("h"), F.desc("step"), F.desc("place")).limit(max(k, 1) - 1).select("node"), "node", "left_anti")
+    tree = tree.select("node", "parent")
+    while True:
+        far = tree.select(F.col("node").alias("parent"), F.col("parent").alias("far"))
+        new = written(tree.join(far, "parent", "left").select("node", F.coalesce("far", "parent").alias("parent"), F.col("far").isNotNull().alias("moved")), "tree")
+        tree = new.select("node", "parent")
+        if new.where("moved").isEmpty():
+            break
+    names = rows.select(F.col("node").alias("parent"), F.col("id").alias("name"))
+    out = rows.select("node", "id").join(tree, "node", "left").join(names, "parent", "left")
+    return out.select("id", F.coalesce("name", "id").alias("cluster"))
+
 
-    return rows.groupBy("component").applyInPandas(f, "id long, cluster long")
+def agglomerative(df: DataFrame, threshold: float = 0.01) -> DataFrame:
+    """id, cluster (least id of it) by average linkage cut at `threshold`. df: id, v."""
+    return _clusters(df, threshold)
 
 
 def agglomerative_k(df: DataFrame, k: int = 10, most: int = 20_000) -> DataFrame:

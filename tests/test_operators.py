@@ -183,6 +183,47 @@ def test_agglomerative_equals_naive_linkage(spark):
     assert len(set(clustering.average_linkage(v, k=4))) == 4
 
 
+def odd_vectors():
+    """Copies, zero vectors, near copies around one vector, and vectors of no group; at length 1."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=5)
+    near = centre + rng.normal(size=(15, 5)) * np.linspace(0.01, 0.1, 15)[:, None]
+    v = np.vstack([rng.normal(size=(25, 5)), np.tile(rng.normal(size=5), (6, 1)), centre, near])
+    v = np.vstack([v / np.linalg.norm(v, axis=1)[:, None], np.zeros((2, 5))])
+    return v[rng.permutation(len(v))]
+
+
+def grouped(df):
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r.cluster, set()).add(r.id)
+    assert all(min(g) == c for c, g in groups.items())
+    return {frozenset(g) for g in groups.values()}
+
+
+def many_vectors(spark):
+    angle = np.radians([0, 1, 2, 40, 41, 120])
+    places = F.array(*(F.array(F.lit(float(np.cos(a))), F.lit(float(np.sin(a)))) for a in angle))
+    return spark.range(20_001).select("id", F.get(places, (F.col("id") % 6).cast("int")).alias("v"))
+
+
+def test_agglomerative_in_rounds_equals_naive_linkage(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "FEW", 25)
+    monkeypatch.setattr(clustering, "MANY", 25)
+    v = odd_vectors()
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    for threshold in (0.02, 0.4):
+        assert grouped(clustering.agglomerative(df, threshold)) == naive_linkage(v, threshold)
+    assert grouped(clustering.agglomerative(df, 0.0)) == {frozenset([i]) for i in range(len(v))}
+    assert clustering.agglomerative(df.limit(0), 0.4).count() == 0
+
+
+def test_agglomerative_of_many_vectors(spark):
+    want = [0, 0, 0, 3, 3, 5]
+    got = clustering.agglomerative(many_vectors(spark), 0.1).collect()
+    assert len(got) == 20_001 and all(r.cluster == want[r.id % 6] for r in got)
+
+
 def test_dbscan(spark):
     angle = np.radians([0, 2, 4, 40, 42, 90])
     df = spark.createDataFrame([(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angle)], "id long, v array<double>")
