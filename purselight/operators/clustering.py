@@ -13,7 +13,7 @@ from purselight.operators import vectors
 from purselight.plans.scratch import components, written
 
 
-#: Clusters that one task takes in any case, and those it takes once a round joins less than a twentieth of them.
+#: Clusters that one task takes in any case, and those it takes once a round joins less than a sixth of them.
 FEW, MANY = 16_384, 200_000
 _TILE = 512
 
@@ -26,6 +26,23 @@ def _means(rows: pd.DataFrame) -> np.ndarray:
     return v
 
 
+def _top(t: np.ndarray, best: np.ndarray, other: np.ndarray, where: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> None:
+    """Takes the products t of `mine` (rows) and `theirs` into each one's best, where it is, and the second best (other)."""
+    better = np.nonzero(t.max(1) > other[mine])[0]
+    t, mine = t[better], mine[better]
+    at, k = t.argmax(1), np.arange(len(better))
+    first = t[k, at]
+    t[k, at] = -9
+    won = first > best[mine]
+    other[mine] = np.maximum(np.where(won, best[mine], first), t.max(1))
+    where[mine[won]], best[mine[won]] = theirs[at[won]], first[won]
+
+
+def _error(dim: int) -> float:
+    """Most error of a product of vectors of length 1 or less in single precision."""
+    return (dim + 4) * 2.0**-24
+
+
 def linkage(v: np.ndarray, size: np.ndarray, height: np.ndarray, threshold: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merges (node, the lesser node it joins, height) of clusters with means v, in an order in which heights of one cluster rise.
 
@@ -40,29 +57,33 @@ def linkage(v: np.ndarray, size: np.ndarray, height: np.ndarray, threshold: floa
     size, height, label, live = size.astype(float), height.astype(float), np.arange(n), np.ones(n, bool)
     near, dist, second = np.zeros(n, int), np.zeros(n), np.zeros(n)
 
-    def search(todo: np.ndarray) -> None:
+    def search(todo: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        best, other, where = np.full(len(todo), -9.0), np.full(len(todo), -9.0), np.zeros(len(todo), int)
         for x in range(0, len(todo), _TILE):
             rows = todo[x : x + _TILE]
             left = right[rows]
             left[:, -1] = 1
-            best, other, where = np.full(len(rows), -9.0), np.full(len(rows), -9.0), np.zeros(len(rows), int)
             for y in range(0, len(right), _TILE):
                 t = left @ right[y : y + _TILE].T
                 own = np.nonzero((rows >= y) & (rows < y + _TILE))[0]
                 t[own, rows[own] - y] = -9
-                better = np.nonzero(t.max(1) > other)[0]
-                t = t[better]
-                at, k = t.argmax(1), np.arange(len(better))
-                first = t[k, at]
-                t[k, at] = -9
-                won = first > best[better]
-                other[better] = np.maximum(np.where(won, best[better], first), t.max(1))
-                where[better[won]], best[better[won]] = at[won] + y, first[won]
-            near[rows], dist[rows], second[rows] = where, 1 - best, 1 - other
+                _top(t, best, other, where, np.arange(x, x + len(rows)), np.arange(y, y + t.shape[1]))
+        return best, other, where
+
+    def refresh(todo: np.ndarray) -> None:
+        """Searches in single precision; where the two best are too close to tell apart in it, again in double precision."""
+        if len(todo) > 64:
+            best, other, where = search(todo, right.astype(np.float32))
+            near[todo], second[todo] = where, 1 - other - _error(dim)
+            dist[todo] = 1 - np.einsum("ij,ij->i", right[todo, :dim], right[where, :dim])
+            todo = todo[best - other <= 2 * _error(dim)]
+        if len(todo):
+            best, other, where = search(todo, right)
+            near[todo], dist[todo], second[todo] = where, 1 - best, 1 - other
 
     todo, out = np.arange(n), []
     while live.sum() > 1:
-        search(todo)
+        refresh(todo)
         i = np.arange(len(live))
         below = live if threshold is None else live & (dist < threshold)
         a = i[below & (near[near] == i) & (i < near)]
@@ -111,7 +132,7 @@ def average_linkage(v: np.ndarray, threshold: float | None = None, k: int | None
 
 def _nearest(active: DataFrame, n: int) -> DataFrame:
     """c, other, d: the nearest other cluster of each, ties by its number. active: c, s, n; a task holds two blocks of it."""
-    blocks = max(1, min(-(-n // 1024), max(8, -(-n // 16_384))))
+    blocks = max(1, min(-(-n // 1024), max(5, -(-n // 16_384))))
     block = F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     rows = active.select("c", "s", "n", block.alias("block"), other.alias("other"))
@@ -122,24 +143,29 @@ def _nearest(active: DataFrame, n: int) -> DataFrame:
         v, ids, block = _means(rows), rows.c.to_numpy(), rows.block.to_numpy()
         left, right = (np.nonzero(block == k)[0] for k in key)
         same = key[0] == key[1]
-        best, where = np.full(len(v), -9.0), np.full(len(v), -1)
-
-        def keep(t: np.ndarray, mine: np.ndarray, theirs: np.ndarray, axis: int) -> None:
-            top = t.max(axis)
-            k = np.nonzero(top > best[mine])[0]
-            at = (t[k] if axis else t[:, k]).argmax(axis)
-            best[mine[k]], where[mine[k]] = top[k], theirs[at]
-
+        best, other, where = np.full(len(v), -9.0), np.full(len(v), -9.0), np.full(len(v), -1)
+        single = v.astype(np.float32)
         for x in range(0, len(left), _TILE):
             for y in range(x if same else 0, len(right), _TILE):
                 a, b = left[x : x + _TILE], right[y : y + _TILE]
-                t = v[a] @ v[b].T
+                t = single[a] @ single[b].T
                 if same and x == y:
                     t[np.tril_indices(len(a))] = -9
-                keep(t, a, b, 1)
-                keep(t, b, a, 0)
-        found = where >= 0
-        return pd.DataFrame({"c": ids[found], "other": ids[where[found]], "d": 1 - best[found]})
+                _top(t, best, other, where, a, b)
+                _top(t.T, best, other, where, b, a)
+        found = np.nonzero(where >= 0)[0]
+        d = np.full(len(v), np.inf)
+        d[found] = 1 - np.einsum("ij,ij->i", v[found], v[where[found]])
+        close = found[best[found] - other[found] <= 2 * _error(v.shape[1])]
+        for mine, theirs in ((left, right),) if same else ((left, right), (right, left)):  # what single precision cannot tell apart
+            mine = np.intersect1d(mine, close)
+            for x in range(0, len(mine), _TILE):
+                rows_of = mine[x : x + _TILE]
+                t = v[rows_of] @ v[theirs].T
+                t[rows_of[:, None] == theirs[None]] = -9
+                at = t.argmax(1)
+                where[rows_of], d[rows_of] = theirs[at], 1 - t[np.arange(len(rows_of)), at]
+        return pd.DataFrame({"c": ids[found], "other": ids[where[found]], "d": d[found]})
 
     found = rows.groupBy("x", "y").applyInPandas(f, "c long, other long, d double")
     return found.groupBy("c").agg(F.min(F.struct("d", "other")).alias("near")).select("c", "near.other", "near.d")
@@ -163,7 +189,7 @@ def _clusters(df: DataFrame, threshold: float | None = None, k: int | None = Non
     active = rows.where("node = c").select("c", F.transform("s", lambda x: x * F.col("n")).alias("s"), "n", F.lit(0.0).alias("h"))
     left, step = active.count(), 0
     before = joined = left
-    while left > MANY or (left > FEW and joined >= before / 20):
+    while left > MANY or (left > FEW and joined >= before / 6):
         before, step = left, step + 1
         near = written(_nearest(active, left), "near")
         if threshold is not None:
@@ -217,16 +243,9 @@ def agglomerative(df: DataFrame, threshold: float = 0.01) -> DataFrame:
     return _clusters(df, threshold)
 
 
-def agglomerative_k(df: DataFrame, k: int = 10, most: int = 20_000) -> DataFrame:
-    """id, cluster (least id of it): average linkage down to k clusters, of at most `most` vectors, in one task."""
-
-    def f(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > most:
-            raise ValueError(f"{len(rows)} vectors; this clustering takes {most}")
-        rows = rows.sort_values("id")
-        return pd.DataFrame({"id": rows.id, "cluster": rows.id.to_numpy()[average_linkage(np.stack(rows.v), k=k)]})
-
-    return df.select("id", numbers.unit(F.col("v")).alias("v"), F.lit(0).alias("all")).groupBy("all").applyInPandas(f, "id long, cluster long")
+def agglomerative_k(df: DataFrame, k: int = 10) -> DataFrame:
+    """id, cluster (least id of it): average linkage down to k clusters. df: id, v."""
+    return _clusters(df, k=k)
 
 
 def dbscan(df: DataFrame, eps: float = 0.1, min_samples: int = 2) -> DataFrame:

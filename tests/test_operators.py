@@ -224,6 +224,28 @@ def test_agglomerative_of_many_vectors(spark):
     assert len(got) == 20_001 and all(r.cluster == want[r.id % 6] for r in got)
 
 
+def test_agglomerative_k_in_rounds_equals_naive_linkage(spark, monkeypatch):
+    v = odd_vectors()
+    v = v[np.linalg.norm(v, axis=1) > 0]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    heights = np.linspace(0.001, 1.5, 400)
+    sizes = [len(set(clustering.average_linkage(v, h))) for h in heights]
+    for few, k in ((25, 9), (1000, 3)):
+        monkeypatch.setattr(clustering, "FEW", few)
+        monkeypatch.setattr(clustering, "MANY", few)
+        assert grouped(clustering.agglomerative_k(df, k)) == naive_linkage(v, heights[sizes.index(k)])
+    assert len(grouped(clustering.agglomerative_k(df, len(v) - 2))) == len(v) - 2
+    assert len(grouped(clustering.agglomerative_k(df, len(v) + 5))) == len(v)
+
+
+def test_agglomerative_k_of_many_vectors(spark):
+    want = [0, 0, 0, 3, 3, 5]
+    got = clustering.agglomerative_k(many_vectors(spark), 3).collect()
+    assert len(got) == 20_001 and all(r.cluster == want[r.id % 6] for r in got)
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0])], "id long, v array<double>")
+    assert sorted(map(tuple, clustering.agglomerative_k(twice, 2).collect())) == [(1, 1), (1, 1), (2, 1)]
+
+
 def test_dbscan(spark):
     angle = np.radians([0, 2, 4, 40, 42, 90])
     df = spark.createDataFrame([(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angle)], "id long, v array<double>")
