@@ -174,19 +174,22 @@ def _nearest(active: DataFrame, n: int) -> DataFrame:
 def _clusters(df: DataFrame, threshold: float | None = None, k: int | None = None) -> DataFrame:
     """id, cluster (least id of it) by average linkage of all vectors.
 
-    Equal vectors join first, at height 0. Then, in rounds, the clusters that are nearest to each other merge, which gives the
-    tree of merging the closest two each time (see `linkage`); clusters with nothing below the threshold leave. Searches are
-    dealt by pairs of blocks until what is left fits one task, which holds the mean of each cluster, not their distances.
+    Equal vectors join first, at height 0; zero vectors, at distance 1 from all, join each other before anything else at that
+    distance. Then, in rounds, the clusters that are nearest to each other merge, which gives the tree of merging the closest
+    two each time (see `linkage`); clusters with nothing below the threshold leave. Searches are dealt by pairs of blocks until
+    what is left fits one task, which holds the mean of each cluster, not their distances.
     """
     rows = df.select("id", numbers.unit(F.col("v")).alias("s")).orderBy(F.asc_nulls_last("id")).select(F.monotonically_increasing_id().alias("node"), "id", "s")
     rows = written(rows, "vectors")
     same = Window.partitionBy("s")
-    copies = F.exists("s", lambda x: x != 0) & F.lit(threshold is None or threshold > 0)  # zero vectors are at distance 1 from all
-    rows = rows.select("node", "id", "s", F.when(copies, F.min("node").over(same)).otherwise(F.col("node")).alias("c"), F.when(copies, F.count("*").over(same)).otherwise(F.lit(1)).alias("n"))
+    height = F.when(F.exists("s", lambda x: x != 0), F.lit(0.0)).otherwise(F.lit(1.0))
+    copies = F.lit(True) if threshold is None else F.col("h") < threshold
+    rows = rows.select("node", "id", "s", height.alias("h"))
+    rows = rows.select("node", "id", "s", "h", F.when(copies, F.min("node").over(same)).otherwise(F.col("node")).alias("c"), F.when(copies, F.count("*").over(same)).otherwise(F.lit(1)).alias("n"))
     rows = written(rows, "copies")
     schema = "node long, parent long, h double, step int, place long"
-    merges = [rows.where("node <> c").select("node", F.col("c").alias("parent"), F.lit(0.0).alias("h"), F.lit(0).alias("step"), F.col("node").alias("place"))]
-    active = rows.where("node = c").select("c", F.transform("s", lambda x: x * F.col("n")).alias("s"), "n", F.lit(0.0).alias("h"))
+    merges = [rows.where("node <> c").select("node", F.col("c").alias("parent"), "h", F.lit(0).alias("step"), F.col("node").alias("place"))]
+    active = rows.where("node = c").select("c", F.transform("s", lambda x: x * F.col("n")).alias("s"), "n", F.when(F.col("n") > 1, F.col("h")).otherwise(F.lit(0.0)).alias("h"))
     left, step = active.count(), 0
     before = joined = left
     while left > MANY or (left > FEW and joined >= before / 6):

@@ -246,6 +246,22 @@ def test_agglomerative_k_of_many_vectors(spark):
     assert sorted(map(tuple, clustering.agglomerative_k(twice, 2).collect())) == [(1, 1), (1, 1), (2, 1)]
 
 
+def test_zero_vectors_join_each_other_first(spark):
+    angle = np.radians([0, 120, 240, 1])
+    v = [[float(np.cos(a)), float(np.sin(a))] for a in angle]
+    df = spark.createDataFrame([(i, v[i] if i < 4 else [0.0, -0.0]) for i in range(12)], "id long, v array<double>")
+    zeros = frozenset(range(4, 12))
+    assert grouped(clustering.agglomerative_k(df, 4)) == {frozenset([0, 3]), frozenset([1]), frozenset([2]), zeros}
+    assert len(grouped(clustering.agglomerative_k(df, 6))) == 6
+    assert grouped(clustering.agglomerative(df, 1.0)) == {frozenset([0, 3])} | {frozenset([i]) for i in range(1, 12) if i != 3}
+    assert len(grouped(clustering.agglomerative_k(df, 1))) == 1
+
+
+def test_agglomerative_k_of_many_zero_vectors(spark):
+    df = many_vectors(spark).withColumn("v", F.when(F.col("id") < 20_000, F.array(F.lit(0.0), F.lit(0.0))).otherwise(F.col("v")))
+    assert grouped(clustering.agglomerative_k(df, 2)) == {frozenset(range(20_000)), frozenset([20_000])}
+
+
 def test_dbscan(spark):
     angle = np.radians([0, 2, 4, 40, 42, 90])
     df = spark.createDataFrame([(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angle)], "id long, v array<double>")
