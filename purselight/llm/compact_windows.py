@@ -324,99 +324,225 @@ def cut_out(docs: DataFrame, wanted: DataFrame, most: int = 500) -> DataFrame:
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, x in zip(batch.column("text"), batch.column("x"), strict=True):
-                t = (tokens(text.as_py() or b"") >> np.uint64(32)).astype(np.uint32)
-                part = x.values
-                for lo, hi in blocks(len(part), most):
-                    some_ = part.slice(lo, hi - lo)
-                    some_ = some_.filter(pa.compute.less(some_.field("from"), len(t)))
-                    out = [t[a : b + 1].tobytes() for a, b in zip(some_.field("from").to_pylist(), some_.field("to").to_pylist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(some_.field(c) for c in keys), pa.array(out, pa.binary())], names=[*keys, "shingles"])
+            for lo, hi in blocks(batch.num_rows, 64):
+                rows = batch.slice(lo, hi - lo)
+                t, start = token_block(binaries(rows, "text"))
+                t = (t >> np.uint64(32)).astype(np.uint32)
+                row = np.repeat(np.arange(hi - lo), pa.compute.list_value_length(rows.column("x")).to_numpy())
+                part = rows.column("x").flatten()
+                from_, size = part.field("from").to_numpy(), np.diff(start)[row]
+                end = np.minimum(part.field("to").to_numpy() + 1, size)
+                fits = from_ < size
+                part, from_, end, row = part.filter(pa.array(fits)), from_[fits], end[fits], row[fits]
+                length = np.maximum(end - from_, 0)
+                total = np.cumsum(length)
+                at = 0
+                while at < len(length):  # 4 MiB at a time, or one stretch
+                    to = max(at + 1, int(np.searchsorted(total, total[at] - length[at] + (1 << 20), "right")))
+                    offsets = np.r_[0, total[at:to] - total[at] + length[at]] * 4
+                    data = t[ranges((start[row] + from_)[at:to], length[at:to])]
+                    shingles = pa.LargeBinaryArray.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+                    yield pa.RecordBatch.from_arrays([*(part.field(c).slice(at, to - at) for c in keys), shingles.cast(pa.binary())], names=[*keys, "shingles"])
+                    at = to
 
     return rows.mapInArrow(f, f"{kinds}, shingles binary")
 
 
-def best_stretch(hit: np.ndarray) -> tuple[int, int]:
-    """Start and end (excluded) of the stretch of greatest sum, hits counting 1 and others -3."""
-    total = np.r_[0, np.cumsum(np.where(hit, 1, -3))]
-    low = np.minimum.accumulate(total)
-    end = int((total - low).argmax())
-    return int(total[: end + 1].argmin()), end
+class Heights:
+    """For each of several rows of hits, one after the other: the course of their sum, hits counting 1 and others -misses.
 
+    sizes: lengths of the rows. A row of n hits has n + 1 heights, and begins just below the least of the row before.
+    """
 
-def longest_stretch(hit: np.ndarray, misses: int) -> tuple[int, int]:
-    """Start and end (excluded) of the longest stretch, from a hit to a hit, with `misses` hits or more for each miss."""
-    total = np.r_[0, np.cumsum(np.where(hit, 1, -misses))]
-    first = np.searchsorted(-np.minimum.accumulate(total), -total)  # the first place that is not higher
-    end = int((np.arange(len(total)) - first).argmax())
-    at = np.nonzero(hit[first[end] : end])[0]
-    return (int(first[end] + at[0]), int(first[end] + at[-1] + 1)) if len(at) else (0, 0)
+    def __init__(self, hit: np.ndarray, sizes: np.ndarray, misses: int):
+        kind = np.int32 if len(hit) < 1 << 26 else np.int64
+        self.start = np.cumsum(sizes) - sizes + np.arange(len(sizes))
+        self.sizes = sizes + 1
+        steps = np.zeros(len(hit) + len(sizes), kind)
+        inner = np.ones(len(steps), bool)
+        inner[self.start] = False
+        steps[inner] = hit.astype(kind) * kind(misses + 1) - kind(misses)
+        sums = np.cumsum(steps, dtype=kind)
+        begin = sums[self.start]
+        least = np.minimum.reduceat(sums, self.start) - begin
+        self.top = (np.cumsum(least - 1) - least).astype(kind)  # heights at which rows begin, the first at -1
+        self.height = sums + np.repeat(self.top - begin, self.sizes)
+        self.low = np.minimum.accumulate(self.height)
+        self.place = np.repeat(np.arange(len(sums), dtype=kind), -np.diff(self.low, prepend=kind(0)))  # by depth, the first place as low as that
+
+    def first(self, height: np.ndarray, top: np.ndarray) -> np.ndarray:
+        """The first places, in rows that begin at `top`, that are no higher than `height`, which the rows must reach."""
+        return self.place[~np.minimum(height, top)]
+
+    def highest(self, x: np.ndarray) -> np.ndarray:
+        """For each row the first place of its greatest value in x."""
+        at = np.nonzero(x == np.repeat(np.maximum.reduceat(x, self.start), self.sizes))[0]
+        return at[np.searchsorted(at, self.start)]
+
+
+def best_stretches(hit: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row start and end (excluded) of the stretch of greatest sum, hits counting 1 and others -3."""
+    h = Heights(hit, sizes, 3)
+    end = h.highest(h.height - h.low)
+    return h.first(h.low[end], h.top) - h.start, end - h.start
+
+
+def longest_stretches(hit: np.ndarray, sizes: np.ndarray, misses: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row start and end (excluded) of the longest stretch, from a hit to a hit, with `misses` hits or more for each miss.
+
+    The third array has the lengths of the stretches before misses at their ends are left out.
+    """
+    h = Heights(hit, sizes, misses)
+    first = h.first(h.height, np.repeat(h.top, h.sizes))
+    end = h.highest(np.arange(len(first), dtype=first.dtype) - first)
+    begin, rows = first[end], np.arange(len(sizes))
+    at = np.r_[np.nonzero(hit)[0], len(hit)]
+    low, high = np.searchsorted(at, begin - rows), np.searchsorted(at, end - rows) - 1
+    some, from_ = high >= low, h.start - rows
+    return np.where(some, at[low] - from_, 0), np.where(some, at[high] + 1 - from_, 0), end - begin
 
 
-def inside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether each value of a is in b; b is sorted and not empty."""
-    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+CUTS = (lambda h, n: longest_stretches(h, n, 3), lambda h, n: longest_stretches(h, n, 6), best_stretches)
 
 
-def passages(a: np.ndarray, b: np.ndarray, width: int, percent: int) -> list[tuple[int, int, int, int, float]]:
-    """Passages shared by two stretches of shingles: (start, end) in a and b, ends excluded, and their similarity.
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] numbers), start[1], ..."""
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
 
-    What the search along a leaves of b is searched along b.
-    """
-    if min(len(a), len(b)) < width:
-        return []
-    if len(a) == len(b) and (a == b).all():
-        return [(0, len(a), 0, len(b), 1.0)]
-    out = search(a, b, width, percent, [(0, len(a))])
-    left, at = [], 0
-    for y0, y1 in sorted(x[2:4] for x in out):
-        left.append((at, y0))
-        at = max(at, y1)
-    return out + [(x0, x1, y0, y1, s) for y0, y1, x0, x1, s in search(b, a, width, percent, [*left, (at, len(b))])]
+
+def passages(a: np.ndarray, b: np.ndarray, width: int, percent: int) -> list[tuple[int, int, int, int, float]]:
+    """Passages shared by two stretches of shingles: (start, end) in a and b, ends excluded, and their similarity."""
+    return [tuple(x[1:]) for x in zip(*(v.tolist() for v in all_passages([(a, b)], width, percent)), strict=True)]
 
 
-def search(a: np.ndarray, b: np.ndarray, width: int, percent: int, todo: list[tuple[int, int]]) -> list[tuple[int, int, int, int, float]]:
-    """passages() along the parts todo of a.
+def all_passages(pairs: list[tuple[np.ndarray, np.ndarray]], width: int, percent: int, block: int = 1 << 18) -> list[np.ndarray]:
+    """passages() of many pairs of stretches (32 bits a shingle): number of the pair, start and end in a and b, similarity.
 
+    What the search along a leaves of b is searched along b. Pairs are searched together, in blocks of so many shingles.
+    """
+    out = [[np.empty(0, np.int64)] * 5 + [np.empty(0)]]
+    some, held = [], 0
+    for k, (a, b) in enumerate(pairs):
+        if min(len(a), len(b)) < width:
+            continue
+        if len(a) == len(b) and (a == b).all():
+            out.append([np.array([x]) for x in (k, 0, len(a), 0, len(b), 1.0)])
+            continue
+        if some and (held + len(a) + len(b) > block or len(some) == 512):
+            out.append(block_passages(pairs, some, width, percent))
+            some, held = [], 0
+        some.append(k)
+        held += len(a) + len(b)
+    if some:
+        out.append(block_passages(pairs, some, width, percent))
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def block_passages(pairs: list[tuple[np.ndarray, np.ndarray]], some: list[int], width: int, percent: int) -> list[np.ndarray]:
+    """all_passages() of the pairs numbered `some`."""
+    size = np.array([len(x) for k in some for x in pairs[k]])
+    start = np.cumsum(size) - size
+    flat = np.concatenate([x for k in some for x in pairs[k]]).astype(np.uint64)
+    bits = np.uint64(len(flat).bit_length())
+    pair = np.repeat(np.arange(len(some), dtype=np.uint64), size[::2] + size[1::2])
+    rising = np.sort((pair << np.uint64(32) | flat) << bits | np.arange(len(flat), dtype=np.uint64))
+    new = np.r_[True, np.diff(rising >> bits) > 0]
+    number = np.empty(len(flat), np.int64)  # of each shingle, among the distinct ones of all pairs in turn
+    number[(rising & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)] = np.cumsum(new) - 1
+    first = np.r_[number[start[::2]], new.sum()]
+    np.minimum.reduceat(number, start[::2], out=first[:-1])
+    a, b = ((start[k::2], size[k::2]) for k in (0, 1))
+
+    def search_(a: tuple, b: tuple, pair: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+        return search(number, first, a, b, width, percent, pair, lo, hi)
+
+    n = np.arange(len(some))
+    out = search_(a, b, n, a[0], a[0] + a[1])
+    order = np.lexsort((out[3], out[0]))
+    of, y0, y1 = (np.r_[out[k][order], v] for k, v in ((0, n), (3, b[0] + b[1]), (4, b[0] + b[1])))  # an end for each pair
+    order = np.argsort(of, kind="stable")
+    of, y0, y1 = of[order], y0[order], y1[order]
+    left = np.maximum(b[0][of], np.r_[0, np.maximum.accumulate(y1)[:-1]])
+    back = search_(b, a, of, left, y0)
+    out = [np.concatenate([x, y]) for x, y in zip(out, [back[k] for k in (0, 3, 4, 1, 2, 5)], strict=True)]
+    at_a, at_b = a[0][out[0]], b[0][out[0]]
+    return [np.array(some)[out[0]], out[1] - at_a, out[2] - at_a, out[3] - at_b, out[4] - at_b, out[5]]
+
+
+def search(number: np.ndarray, first: np.ndarray, a: tuple, b: tuple, width: int, percent: int, pair: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """Passages along the parts lo..hi of the pairs' stretches a: pair, start and end in a and b, similarity.
+
+    number: shingles of all stretches as numbers, those of each pair from `first` on; a, b: (start, length) by pair.
     The longest stretch of a of which b holds three quarters, and the like of b, are tried first; then six sevenths
     (what equally long sides need for 0.75) and the densest. What lies on either side of it is searched in turn. Where
     all fail, as b holds parts of the stretch in different places, the part that b's stretch covers and the rest are.
     """
-    out = []
-    if not any(hi - lo >= width for lo, hi in todo):
-        return out
-    cuts = (lambda h: longest_stretch(h, 3), lambda h: longest_stretch(h, 6), best_stretch)
-    hits = inside(a, np.sort(b))
-    while todo:
-        lo, hi = todo.pop()
-        hit = hits[lo:hi]
-        if hi - lo < width or hit.sum() < width * percent // 100:
-            continue
-        split = None
-        for cut_ in cuts:
-            x0, x1 = (lo + v for v in cut_(hit))
-            if x1 - x0 < width:
-                continue
-            s = np.unique(a[x0:x1])
-            y0, y1 = cut_(inside(b, s))
-            if y1 - y0 < width:
-                continue
-            t = np.unique(b[y0:y1])
-            both = int(inside(t, s).sum())
-            union = len(s) + len(t) - both
-            if 100 * both >= percent * union:
-                out.append((x0, x1, y0, y1, both / union))
-                split = None
+    out = [[np.empty(0, np.int64)] * 5 + [np.empty(0)]]
+    held = np.zeros(first[-1], bool)
+    held[number[ranges(*b)]] = True
+    hits = np.zeros(len(number), bool)
+    at = ranges(*a)
+    hits[at] = held[number[at]]
+    waiting = [(pair, lo, hi)]
+    while waiting:
+        pair, lo, hi = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        keep = hi - lo >= width
+        pair, lo, hi = pair[keep], lo[keep], hi[keep]
+        # Each part needs its pair's stretch b and a table of the pair's shingles: some parts at a time.
+        k = max(1, int(np.searchsorted(np.cumsum(hi - lo + b[1][pair] + first[pair + 1] - first[pair]), 1 << 20)))
+        waiting = [(pair[k:], lo[k:], hi[k:])] if k < len(pair) else []
+        pair, lo, hi = pair[:k], lo[:k], hi[:k]
+        if not len(pair):
+            break
+        keep = np.add.reduceat(hits[ranges(lo, hi - lo)], np.cumsum(hi - lo) - hi + lo, dtype=np.int64) >= width * percent // 100
+        pair, lo, hi = pair[keep], lo[keep], hi[keep]
+        x0, x1, u0, u1 = lo.copy(), lo.copy(), np.full(len(lo), -1), np.full(len(lo), -1)
+        split0, split1 = u0.copy(), u0.copy()
+        todo = np.arange(len(lo))
+        for turn, cut_ in enumerate(CUTS):
+            if not len(todo):
                 break
-            u0, u1 = (x0 + v for v in cut_(inside(a[x0:x1], t)))
-            if split is None and 0 < u1 - u0 < x1 - x0:
-                split = x0, u0, u1, x1
-        if split:
-            x0, u0, u1, x1 = split
-            todo += [(x0, u0), (u0, u1), (u1, x1)]
-        if x1 > x0:
-            todo += [(lo, x0), (x1, hi)]
-    return out
+            size = (hi - lo)[todo]
+            v = cut_(hits[ranges(lo[todo], size)], size)
+            if not turn:  # no other cut is longer, of the part or of what lies within it
+                long = v[2] >= width
+                todo, v = todo[long], [x[long] for x in v]
+            x0[todo], x1[todo] = lo[todo] + v[0], lo[todo] + v[1]
+            k = todo[v[1] - v[0] >= width]
+            if not len(k):
+                continue
+            of, size = pair[k], (x1 - x0)[k]
+            many = first[of + 1] - first[of]
+            table = np.cumsum(many) - many
+            shift = table - first[of]
+            at_a = number[ranges(x0[k], size)] + np.repeat(shift, size)
+            s, t = np.zeros(many.sum(), bool), np.zeros(many.sum(), bool)
+            s[at_a] = True
+            y0, y1 = cut_(s[number[ranges(b[0][of], b[1][of])] + np.repeat(shift, b[1][of])], b[1][of])[:2]
+            wide = np.where(y1 - y0 >= width, y1 - y0, 0)
+            y0 = y0 + b[0][of]
+            t[number[ranges(y0, wide)] + np.repeat(shift, wide)] = True
+            both, union = (np.add.reduceat(x, table, dtype=np.int64) for x in (s & t, s | t))
+            like = (wide > 0) & (100 * both >= percent * union)
+            out.append([of[like], x0[k[like]], x1[k[like]], y0[like], (y0 + wide)[like], both[like] / union[like]])
+            u0[k[like]] = -1
+            left = np.ones(len(lo), bool)
+            left[k[like]] = False
+            todo = todo[left[todo]]
+            m = np.nonzero(~like & (wide > 0) & (u0[k] < 0))[0]
+            if len(m):
+                mine = np.repeat(np.isin(np.arange(len(k)), m, assume_unique=True), size)
+                v = cut_(t[at_a[mine]], size[m])
+                new = (v[1] > v[0]) & (v[1] - v[0] < size[m])
+                m, v = m[new], [x[new] for x in v]
+                k = k[m]
+                u0[k], u1[k], split0[k], split1[k] = x0[k] + v[0], x0[k] + v[1], x0[k], x1[k]
+        split = u0 >= 0
+        x0[split], x1[split] = split0[split], split1[split]
+        some = x1 > x0
+        waiting += [(pair[some], lo[some], x0[some]), (pair[some], x1[some], hi[some])]
+        waiting += [(pair[split], p[split], q[split]) for p, q in ((x0, u0), (u0, u1), (u1, x1))]
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
 def verified(docs: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
@@ -431,20 +557,34 @@ def verified(docs: DataFrame, found: DataFrame, width: int, percent: int) -> Dat
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, others = None, set()
+        regions_, pairs = [], []
+
+        def tried() -> pa.RecordBatch:
+            k, x0, x1, y0, y1, s = all_passages(pairs, width, percent)
+            a, b, a0, b0 = np.array(regions_, np.int64)[k].T
+            out = a, b, a0 + x0, a0 + x1 + SHINGLE - 1, b0 + y0, b0 + y1 + SHINGLE - 1, s
+            regions_.clear()
+            pairs.clear()
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in out], names=names)
+
+        held = 0
         for batch in batches:
-            out = []
-            for *key, k, raw in zip(*(batch.column(c) for c in (*keys, "side", "shingles")), strict=True):
-                key = tuple(x.as_py() for x in key)
+            for *key, k, raw in zip(*(batch.column(c).to_pylist() for c in (*keys, "side", "shingles")), strict=True):
                 if key != now:
                     now, others = key, set()
-                if k.as_py() == 0:
-                    others.add(raw.as_py())
+                if k == 0:
+                    others.add(raw)
                     continue
-                t, (a, b, a0, b0) = np.frombuffer(raw.as_py(), np.uint32), key
+                t = np.frombuffer(raw, np.uint32)
                 for other in others:
-                    out += [(a, b, a0 + x0, a0 + x1 + SHINGLE - 1, b0 + y0, b0 + y1 + SHINGLE - 1, s) for x0, x1, y0, y1, s in passages(t, np.frombuffer(other, np.uint32), width, percent)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64() if c == "similarity" else pa.int64()) for c, v in zip(names, zip(*out, strict=True), strict=True)], names=names)
+                    regions_.append(key)
+                    pairs.append((t, np.frombuffer(other, np.uint32)))
+                    held += len(raw) + len(other)
+                    if held > 8 << 20:  # bytes
+                        yield tried()
+                        held = 0
+        if pairs:
+            yield tried()
 
     rows = both.repartition(*keys).sortWithinPartitions(*keys, "side")
     return rows.mapInArrow(f, "a long, b long, a_from long, a_to long, b_from long, b_to long, similarity double")
@@ -460,11 +600,16 @@ def poorest(t: np.ndarray, size: np.ndarray, at: np.ndarray, width: int) -> np.n
     before = np.full(t.shape, -1)  # the place before with the same value
     np.put_along_axis(before, order[:, 1:], np.where(rising[:, 1:] == rising[:, :-1], order[:, :-1], -1), 1)
     out = np.where(size < width, 1, width)
-    for start in range(t.shape[1] - width + 1):
-        holds = (start <= at) & (at < start + width) & (start + width <= size)
-        if holds.any():
-            out[holds] = np.minimum(out[holds], (before[holds, start : start + width] < start).sum(1))
-    return out
+    place = np.arange(t.shape[1])
+    if len(place) < width:
+        return out
+    # A place counts in the runs that begin behind the place before with its value, up to itself.
+    row = np.arange(len(t))[:, None] * (len(place) + 1)
+    begins = np.bincount((row + np.maximum(before, place - width) + 1).ravel(), minlength=len(t) * (len(place) + 1)).reshape(len(t), -1)[:, :-1]
+    many = np.cumsum(begins, 1) - place
+    start = place[: len(place) - width + 1]
+    holds = (start <= at[:, None]) & (at[:, None] < start + width) & (start + width <= size[:, None])
+    return np.minimum(out, np.where(holds, many[:, : len(start)], width).min(1))
 
 
 def may_hold(hit: np.ndarray, size: np.ndarray, at: np.ndarray, width: int, percent: int, miss: int | None = None) -> np.ndarray:
@@ -523,7 +668,6 @@ def alike(label: np.ndarray, at: np.ndarray, shingles: list[np.ndarray], width:
         for i, j in alike(label[k], at[k], [shingles[x] for x in k], width, percent, block):
             yield k[i], k[j]
         return
-    held = np.zeros(len(known), bool)
     poor = np.where(length < width, 1, width)
     repeats = np.nonzero(size < length)[0]
     for a, b in blocks(len(repeats), 4 * block):
@@ -533,13 +677,16 @@ def alike(label: np.ndarray, at: np.ndarray, shingles: list[np.ndarray], width:
     def dense(i: np.ndarray, j: np.ndarray, miss: int) -> np.ndarray:
         """Whether windows i may hold a passage whose shingles are those of windows j."""
         out = size[i] < length[i]
-        order = np.argsort(j, kind="stable")
-        for part in np.split(order, np.nonzero(np.diff(j[order]))[0] + 1):
-            other = column[start[j[part[0]]] : start[j[part[0]] + 1]]
-            held[other] = True
+        todo = np.nonzero(~out)[0]
+        todo = todo[np.argsort(j[todo], kind="stable")]
+        for a, b in blocks(len(todo), min(512, (1 << 22) // (len(used) + 1) + 1)):
+            part = todo[a:b]
+            others, other = np.unique(j[part], return_inverse=True)
+            held = np.zeros((len(others), len(used) + 1), bool)  # what both hold has a number in this block
+            held[np.repeat(np.arange(len(others)), size[others]), number[column[ranges(start[others], size[others])]]] = True
+            held[:, -1] = False
             k = i[part]
-            out[part] |= may_hold(held[padded[k]], length[k], at[k], width, percent, miss)
-            held[other] = False
+            out[part] = may_hold(held[other[:, None], number[padded[k]]], length[k], at[k], width, percent, miss)
         return out
 
     number = np.full(len(often), -1)

@@ -211,3 +211,105 @@ def test_trees_of_many_texts():
                 want.append((a, c, b))
                 todo += [(a, c - 1), (c + 1, b)]
         assert sorted(map(tuple, cw.compact_windows(v, width, start).tolist())) == sorted(want)
+
+
+def plain_cut(hit, misses, longest):
+    """The first longest stretch with a sum of 0 or more, trimmed to hits, or the first of greatest sum; hits count 1, others -misses."""
+    total = np.r_[0, np.cumsum(np.where(hit, 1, -misses))]
+    best = (0, 0)
+    for end in range(1, len(total)):
+        if longest:
+            begin = next(k for k in range(end + 1) if total[k] <= total[end])
+            if end - begin > best[1] - best[0]:
+                best = begin, end
+        else:
+            begin = int(total[: end + 1].argmin())
+            if total[end] - total[begin] > total[best[1]] - total[best[0]]:
+                best = begin, end
+    at = [k for k in range(*best) if hit[k]]
+    return (at[0], at[-1] + 1) if at else (0, 0)
+
+
+def plain_search(a, b, width, percent, todo):
+    out, known = [], set(b.tolist())
+    hits = np.array([x in known for x in a.tolist()], bool)
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < width or hits[lo:hi].sum() < width * percent // 100:
+            continue
+        split = None
+        for cut in ((3, True), (6, True), (3, False)):
+            x0, x1 = (lo + v for v in plain_cut(hits[lo:hi], *cut))
+            s = set(a[x0:x1].tolist())
+            y0, y1 = plain_cut(np.array([x in s for x in b.tolist()], bool), *cut) if x1 - x0 >= width else (0, 0)
+            if y1 - y0 < width:
+                continue
+            t = set(b[y0:y1].tolist())
+            if 100 * len(s & t) >= percent * len(s | t):
+                out.append((x0, x1, y0, y1, len(s & t) / len(s | t)))
+                split = None
+                break
+            u0, u1 = (x0 + v for v in plain_cut(np.array([x in t for x in a[x0:x1].tolist()], bool), *cut))
+            split = split or ((x0, u0, u1, x1) if 0 < u1 - u0 < x1 - x0 else None)
+        if split:
+            x0, u0, u1, x1 = split
+            todo += [(x0, u0), (u0, u1), (u1, x1)]
+        todo += [(lo, x0), (x1, hi)] if x1 > x0 else []
+    return out
+
+
+def test_pairs_searched_together_as_one_by_one():
+    """Pairs of very different lengths in shared blocks, with edits, gaps, swapped parts and repeats, against a plain search of each."""
+    rng, pairs = np.random.default_rng(4), [(np.arange(500, dtype=np.uint32), np.arange(490, dtype=np.uint32)), (np.arange(0, dtype=np.uint32),) * 2]
+    for _ in range(400):
+        most = int(rng.choice([3, 8, 30, 1000]))
+        base = rng.integers(0, most, rng.integers(1, 90)).astype(np.uint32)
+
+        def edited():
+            x = base.copy()
+            x[rng.random(len(x)) < rng.choice([0, 0.05, 0.2])] = rng.integers(0, most)
+            k = rng.integers(0, len(x) + 1)
+            x = np.r_[x[:k], rng.integers(0, most, rng.integers(0, 40)), x[k:]] if rng.random() < 0.5 else x
+            return (np.r_[x[k:], x[:k]] if rng.random() < 0.3 else x).astype(np.uint32)
+
+        pairs.append((edited(), edited()))
+    found = 0
+    for width, percent, block in ((6, 75, 300), (12, 100, 1 << 18), (10, 60, 5000), (1, 75, 1 << 12)):
+        got = [set() for _ in pairs]
+        for k, *x in zip(*(v.tolist() for v in cw.all_passages(pairs, width, percent, block)), strict=True):
+            got[k].add(tuple(x))
+        for (a, b), have in zip(pairs, got, strict=True):
+            if min(len(a), len(b)) >= width:
+                want = [(0, len(a), 0, len(b), 1.0)] if len(a) == len(b) and (a == b).all() else plain_search(a, b, width, percent, [(0, len(a))])
+                free, at = [], 0
+                for y0, y1 in sorted(x[2:4] for x in want):
+                    free, at = [*free, (at, y0)], max(at, y1)
+                want += [(x0, x1, y0, y1, s) for y0, y1, x0, x1, s in plain_search(b, a, width, percent, [*free, (at, len(b))])]
+                assert have == set(want)
+                found += len(want)
+            else:
+                assert not have
+    assert found > 1000
+
+
+def test_windows_are_compared_many_at_a_time(monkeypatch):
+    """200 edited copies of one window in documents of two classes: all pairs across, by a few calls of the density test."""
+    rng, calls, plain = np.random.default_rng(6), [], cw.may_hold
+    base = rng.integers(0, 1 << 32, 100).astype(np.uint32)
+    windows = [np.where(np.arange(100) == k % 100, np.uint32(k), base) for k in range(200)]
+    monkeypatch.setattr(cw, "may_hold", lambda *x: calls.append(1) or plain(*x))
+    got = {(int(min(i, j)), int(max(i, j))) for x in cw.alike(np.arange(200) % 2, np.full(200, 50), windows, 46, 75) for i, j in zip(*x, strict=True)}
+    assert got == {(i, j) for j in range(200) for i in range(j) if (i + j) % 2}
+    assert len(calls) < 150
+
+
+def test_poorest():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        length, width = int(rng.integers(1, 30)), int(rng.integers(1, 12))
+        size = rng.integers(1, length + 1, 5)
+        size[0] = length
+        t = np.where(np.arange(length) < size[:, None], rng.integers(0, 9, (5, length)), 99)
+        at = rng.integers(0, size)
+        want = [min((len(set(r[s : s + width].tolist())) for s in range(n - width + 1) if s <= c < s + width), default=1) for r, n, c in zip(t, size, at, strict=True)]
+        assert cw.poorest(t, size, at, width).tolist() == want
